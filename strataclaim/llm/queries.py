@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataclaim.llm import formatting, leakage, lines, pairs, splitting, tokens
+from strataclaim.llm import formatting, leakage, lines, nearduplicates, pairs, splitting, tokens
 from strataclaim.session import table
 
 
@@ -15,6 +15,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "training_examples"), "id", "query", "response")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs_, members = nearduplicates.near_duplicates(table(spark, d, "chunks"), "chunk_id", ("paper_title", "text"), shingle=3, threshold=0.5, measure="jaccard")
+    return nearduplicates.all_pairs(pairs_, members).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         splitting.split_items(table(spark, d, name), key, "text").withColumn("tab", F.lit(name))
@@ -75,7 +80,7 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p5_found, p5_records, p6_found, p6_cleaned, p7_ids, p7_decoded, p8_found, p8_overlaps)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_pieces, p5_found, p5_records, p6_found, p6_cleaned, p7_ids, p7_decoded, p8_found, p8_overlaps)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ import base64
 import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -33,7 +34,7 @@ from strataclaim.session import write_cut
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of text that one batch of documents holds at most, unless a single text has more.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,24 +61,24 @@ def _cut_batches(id_type: pa.DataType, batch_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), itertools.count()
         ids: list = []
-        places: list[list[int]] = []
+        places: list[np.ndarray] = []
         known: dict[str, int] = {}
         chars = 0
-        schema = pa.schema([("batch", pa.string()), ("id", id_type), ("places", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
 
         def flush() -> pa.RecordBatch:
-            name = f"{part}-{next(number)}"
-            n = len(ids)
-            words = [list(known)] + [None] * (n - 1)
-            return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(ids, id_type), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.string()))], schema=schema)
+            sizes = np.cumsum([0, *(len(p) for p in places)]).astype(np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(places)))
+            docs = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.StructArray.from_arrays([pa.array(ids, id_type), inner], ["id", "places"]))
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{next(number)}"]), docs, pa.array([list(known)], pa.list_(pa.string()))], names=["batch", "docs", "words"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = cut_re.findall(t) if t else []
-                ids.append(i)
-                places.append([known.setdefault(w, len(known)) for w in found])
-                chars += len(t or "")
-                if chars >= batch_chars or len(ids) >= 20_000:
+            for i, t in zip(b.column(0), b.column(1)):
+                text = t.as_py()
+                found = cut_re.findall(text) if text else []
+                ids.append(i.as_py())
+                places.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+                chars += len(text or "")
+                if chars >= batch_chars or len(ids) >= 5_000:
                     yield flush()
                     ids, places, known, chars = [], [], {}, 0
         if ids:
@@ -102,8 +103,8 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = D
     id_type = df.schema[id_col].dataType.simpleString()
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    batches = write_cut(src.mapInArrow(_cut_batches(arrow_id, batch_chars), f"batch string, id {id_type}, places array<int>, words array<string>"))
-    words = batches.where("words is not null").select("batch", F.posexplode("words").alias("number", "word"))
+    batches = write_cut(src.mapInArrow(_cut_batches(arrow_id, batch_chars), f"batch string, docs array<struct<id:{id_type},places:array<int>>>, words array<string>"))
+    words = batches.select("batch", F.posexplode("words").alias("number", "word"))
     encoded = words.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, word_ids array<int>")
     lists = (
         words.join(encoded, "word")
@@ -111,9 +112,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = D
         .agg(F.array_sort(F.collect_list(F.struct("number", "word_ids"))).alias("x"))
         .select("batch", F.col("x.word_ids").alias("table"))
     )
-    docs = batches.select("batch", "id", "places").join(lists, "batch", "left")
-    ids = F.flatten(F.transform("places", lambda p: F.get(F.col("table"), p)))
-    return docs.select(F.col("id").alias(id_col), F.when(F.size("places") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
+    # one row a batch on both sides, so a batch's table is not copied to its documents
+    gathered = F.transform("docs", lambda d: F.struct(d["id"].alias("id"), F.flatten(F.transform(d["places"], lambda p: F.get(F.col("table"), p))).alias("ids")))
+    docs = batches.select("batch", "docs").join(lists, "batch", "left").select(F.explode(gathered).alias("d"))
+    return docs.select(F.col("d.id").alias(id_col), F.coalesce("d.ids", F.array().cast("array<int>")).alias("ids"))
 
 
 def decode_corpus(df: DataFrame, id_col: str, ids_col: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataclaim.llm import formatting, leakage, lines, nearduplicates, pairs, splitting, tokens
+from strataclaim.llm import canonical, formatting, leakage, lines, nearduplicates, pairs, splitting, tokens
 from strataclaim.session import table
 
 
@@ -20,6 +20,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nearduplicates.all_pairs(pairs_, members).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p3_mapped(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        table(spark, d, tab).select(F.lit(tab).alias("tab"), F.col("id").alias("row_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("tab", "row_id", "x.field", "x.value")
+        for tab, fields in (("observations", ("subject", "object")), ("causal_relations", ("source_concept", "target_concept")))
+    ]
+    return canonical.map_values(parts[0].unionByName(parts[1]), table(spark, d, "concept_cells"), "id", "canonical_name", "aliases", "evidence_count")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_mapped(spark, d).select("tab", "row_id", "field", "concept_id")
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         splitting.split_items(table(spark, d, name), key, "text").withColumn("tab", F.lit(name))
@@ -80,7 +92,7 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_pieces, p5_found, p5_records, p6_found, p6_cleaned, p7_ids, p7_decoded, p8_found, p8_overlaps)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_mapped, p4_found, p4_pieces, p5_found, p5_records, p6_found, p6_cleaned, p7_ids, p7_decoded, p8_found, p8_overlaps)}
 
 
 def oracle_sql() -> dict[str, str]:

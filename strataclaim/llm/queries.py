@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataclaim.llm import canonical, formatting, leakage, lines, nearduplicates, pairs, splitting, tokens
+from strataclaim.llm import canonical, formatting, leakage, lines, nearduplicates, pairs, residue, splitting, tokens
 from strataclaim.session import table
 
 
@@ -91,8 +91,16 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
+def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"), "doc_id", "source", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_evidence(spark, d).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_mapped, p4_found, p4_pieces, p5_found, p5_records, p6_found, p6_cleaned, p7_ids, p7_decoded, p8_found, p8_overlaps)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_mapped, p4_found, p4_pieces, p5_found, p5_records, p6_found, p6_cleaned, p7_ids, p7_decoded, p8_found, p8_overlaps, p9_found, p9_evidence)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,19 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+MODULES = ("textplans",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"strataclaim.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

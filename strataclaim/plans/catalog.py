@@ -28,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-MODULES = ("textplans",)
+MODULES = ("textplans", "driftplans")
 
 
 def _load() -> None:

@@ -26,9 +26,9 @@ def text_keys(spark: SparkSession, d: str) -> DataFrame:
 def _chunks_sql(size: int, step: int, least: int) -> str:
     return f"""
 WITH w AS (SELECT chunk_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM chunks),
-c AS (SELECT chunk_id, unnest(range(0, greatest(len(ws), 1), {step})) AS at, ws FROM w)
-SELECT chunk_id, CAST(floor(at / {step}) AS INT) AS chunk_idx, array_to_string(ws[at + 1:at + {size}], ' ') AS piece FROM c
-WHERE length(array_to_string(ws[at + 1:at + {size}], ' ')) >= {least}"""
+c AS (SELECT chunk_id, unnest(range(0, greatest(len(ws), 1), {step})) AS k, ws FROM w)
+SELECT chunk_id, CAST(floor(k / {step}) AS INT) AS chunk_idx, array_to_string(ws[k + 1:k + {size}], ' ') AS piece FROM c
+WHERE length(array_to_string(ws[k + 1:k + {size}], ' ')) >= {least}"""
 
 
 def _word_chunks(spark: SparkSession, d: str, size: int, step: int, least: int) -> DataFrame:

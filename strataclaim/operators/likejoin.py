@@ -23,7 +23,13 @@ def like_join(patterns: DataFrame, pattern: str, texts: DataFrame, text: str, ho
     # lengths are bounded by the cut of the patterns
     lengths = [r._n for r in keyed.where("_n > 0").select("_n").distinct().collect()]
     low = F.lower(F.col(text))
-    windows = F.flatten(F.array(*(F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths))) if lengths else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+
+    def runs_of(n: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(none)
+
+    windows = F.flatten(F.array(*map(runs_of, lengths))) if lengths else none
     exploded = texts.withColumn("_run2", F.explode(F.array_distinct(windows)))
     hit = (F.col("_run") == F.col("_run2")) & F.lower(F.col(text)).like(F.concat(F.lit("%"), F.lower(F.col(pattern)), F.lit("%")))
     if how == "inner":

@@ -28,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-MODULES = ("textplans", "driftplans")
+MODULES = ("textplans", "driftplans", "storeplans", "aggplans", "joinplans")
 
 
 def _load() -> None:

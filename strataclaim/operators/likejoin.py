@@ -3,7 +3,7 @@
 ``text LIKE '%pattern%'`` is turned into an equality: every text is exploded into its substrings of
 the lengths that patterns have (a few, as patterns are cut to a bounded length), which are joined with
 the patterns' longest literal runs; the LIKE itself then verifies. ``_`` and ``%`` in a pattern keep
-their meaning as wildcards.
+their meaning as wildcards; nothing escapes them.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def like_join(patterns: DataFrame, pattern: str, texts: DataFrame, text: str, ho
 
     windows = F.flatten(F.array(*map(runs_of, lengths))) if lengths else none
     exploded = texts.withColumn("_run2", F.explode(F.array_distinct(windows)))
-    hit = (F.col("_run") == F.col("_run2")) & F.lower(F.col(text)).like(F.concat(F.lit("%"), F.lower(F.col(pattern)), F.lit("%")))
+    hit = (F.col("_run") == F.col("_run2")) & F.like(F.lower(F.col(text)), F.concat(F.lit("%"), F.lower(F.col(pattern)), F.lit("%")), F.lit("\u0001"))
     if how == "inner":
         return keyed.where("_n > 0").join(exploded, hit).drop("_run", "_run2", "_n")
     return keyed.join(exploded, hit, how).drop("_run", "_n")

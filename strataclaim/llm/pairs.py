@@ -313,10 +313,10 @@ def length_limits(df: DataFrame, length_col: str, reach: int = 8, factor: float
     n = df.groupBy(F.col(length_col).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     around = n.select(F.explode(F.sequence(F.col("length") - reach, F.col("length") + reach)).alias("length"), F.col("length").alias("own"), "n")
     around = around.where("length <> own").groupBy("length").agg(F.sum("n").alias("near"))
-    total = n.agg(F.sum("n").alias("total"))
+    total = df.count()
     return (
-        n.join(around, "length", "left").crossJoin(F.broadcast(total))
-        .where((F.col("n") >= least) & (F.col("n") >= F.lit(share) * F.col("total")) & (F.col("n") > factor * F.coalesce("near", F.lit(0)) / (2 * reach)))
+        n.join(around, "length", "left")
+        .where((F.col("n") >= least) & (F.col("n") >= F.lit(share * total)) & (F.col("n") > factor * F.coalesce("near", F.lit(0)) / (2 * reach)))
         .select("length", "n")
     )
 

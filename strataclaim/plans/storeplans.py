@@ -55,8 +55,10 @@ def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(_UPSERT + " SELECT (SELECT count(*) FROM f) AS added, (SELECT count(*) FROM chunks) - (SELECT count(*) FROM f) AS skipped")
 def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many chunks an upsert adds and skips."""
-    kept = upsert_chunks(spark, d).agg(F.count(F.lit(1)).alias("added"))
-    return table(spark, d, "chunks").agg(F.count(F.lit(1)).alias("total")).crossJoin(kept).select("added", (F.col("total") - F.col("added")).alias("skipped"))
+    t = tx.squeeze(F.col("text"))
+    fit = (F.length(t) >= 160) & (F.lower(t) != F.lower(F.trim(F.coalesce("paper_title", F.lit("")))))
+    counts = table(spark, d, "chunks").agg(F.count(F.lit(1)).alias("total"), F.count_distinct(F.when(fit, F.sha1(t))).alias("added"))
+    return counts.select("added", (F.col("total") - F.col("added")).alias("skipped"))
 
 
 @query("""WITH w AS (SELECT doc_id, title, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents),

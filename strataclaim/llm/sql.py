@@ -61,3 +61,21 @@ WITH d AS (
 )
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
 """
+
+SQL["p2_found"] = """
+WITH w AS (SELECT chunk_id, regexp_extract_all(lower(coalesce(paper_title, '') || ' ' || text), '[\\p{L}\\p{N}]+') AS w FROM chunks),
+s AS (SELECT DISTINCT chunk_id, hash(w[k], w[k + 1], w[k + 2]) AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
+f AS (SELECT s.*, n.n, count(*) OVER (PARTITION BY g) AS df FROM s JOIN n USING (chunk_id)),
+r AS (SELECT chunk_id, g, n, row_number() OVER (PARTITION BY chunk_id ORDER BY df, g) AS place FROM f),
+c AS (SELECT DISTINCT a.chunk_id AS a, b.chunk_id AS b, a.n AS na, b.n AS nb FROM r a JOIN r b ON a.g = b.g AND a.chunk_id < b.chunk_id WHERE a.place <= a.n - ceil(a.n / 2.0) + 1 AND b.place <= b.n - ceil(b.n / 2.0) + 1 AND least(a.n, b.n) >= 0.5 * greatest(a.n, b.n)),
+m AS (SELECT c.a, c.b, c.na, c.nb, count(*) AS common FROM c JOIN s x ON x.chunk_id = c.a JOIN s y ON y.chunk_id = c.b AND x.g = y.g GROUP BY ALL)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM m WHERE common >= 0.5 * (na + nb - common)
+"""
+
+SQL["p6_cleaned"] = SQL["p6_found"].replace("SELECT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM ks JOIN hot USING (source, k)", """, gone AS (SELECT chunk_id, line_no FROM ks JOIN hot USING (source, k)),
+kept AS (SELECT chunk_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ls WHERE (chunk_id, line_no) NOT IN (SELECT (chunk_id, line_no) FROM gone) GROUP BY chunk_id),
+cnt AS (SELECT chunk_id, count(*) AS n FROM gone GROUP BY chunk_id)
+SELECT c.chunk_id, CASE WHEN n IS NULL THEN c.text ELSE coalesce(kept.text, '') END AS text, coalesce(n, 0)::INT AS n_removed FROM chunks c LEFT JOIN cnt USING (chunk_id) LEFT JOIN kept USING (chunk_id)""").replace(")\n, gone", "), gone")
+
+SQL["p7_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"

@@ -38,7 +38,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 class WordHashes(dict):
     """64-bit hashes of words, kept between batches up to a bound on their number."""
 
-    BOUND = 1_000_000
+    BOUND = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.BOUND:

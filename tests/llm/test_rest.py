@@ -43,7 +43,7 @@ def test_sampling_estimates_similarity():
     h, c = shingle_hashes(docs, 3, WordHashes())
     h = h >> np.uint64(24)
     levels = np.full(2**20, 7, np.uint8)
-    hs = nearduplicates.band_hashes(h, c, levels, nearduplicates.sampling_table() << np.uint64(40), 20, 600, 1)
+    hs = nearduplicates.band_hashes(h, c, levels, nearduplicates.sampling_table(), 20, 600, 1)
     a, b = (set(x.tolist()) for x in np.split(h, np.cumsum(c)[:-1]))
     assert abs((hs[0] == hs[1]).mean() - len(a & b) / len(a | b)) < 0.08 and texts
 

@@ -79,9 +79,9 @@ FILLER = regex.compile(
 SUSPECT = (
     r"\{\{|\{[%#\w]|<[%?<A-Za-z]|\[\[|\[\s*[A-Za-z]{3}|[$#@]\{|%%|%[A-Z_]{3}|%\([a-zA-Z_]|@[A-Z@]|~[A-Z_]{3}|__[A-Za-z]|#[A-Z_]{3}|\$[A-Za-z]\w{2,40}\$|"
     r"(?i:javascript|java script|\bscripts?\b|scripting|noscript|\bjs\b|skript|脚本|cookies|browser|"
-    r"\b[45]\d\d\b\W{0,4}(?:not|forb|unau|bad|gone|int|serv|gate|req|too|err|page|:)|http|not (?:be )?found|no longer|(?:could|can) ?not be|does not exist|has moved|removed|withdrawn|introuvable|trouvée|gefunden|verfügbar|disponi|encontrad|trovata|найдена|页面|autoris|vuelva|"
-    r"denied|permission|authori|too many|unavailable|gateway|server error|connection|went wrong|failed to|unable to|oops|loading|try again|reload|session (?:has |timed|expired)|log in again|prove that|verify (?:that )?you|checking your|captcha|"
-    r"traceback|error|exception|fault|fehler|erreur|lorem|ipsum|(?:sample|dummy|filler|placeholder|example) (?:text|copy|content)|goes here|placeholder|blindtext|fülltext|platzhalter|hier steht|remplissage|relleno|segnaposto|заполнитель|占位|"
+    r"\b[45]\d\d\b\W{0,4}(?:not|forb|unau|bad|gone|int|serv|gate|req|too|err|page|:)|http|not (?:be )?found|no longer|(?:could|can) ?not be|does not exist|has moved|been removed|removed from|withdrawn|introuvable|trouvée|gefunden|verfügbar|disponi|encontrad|trovata|найдена|页面|autoris|vuelva|"
+    r"denied|permission|authori|too many|unavailable|gateway|server error|connection (?:to|timed|was|refused|failed)|went wrong|failed to|unable to|oops|loading|try again|reload|session (?:has |timed|expired)|log in again|prove that|verify (?:that )?you|checking your|captcha|"
+    r"traceback|error|(?:exception|fault)\b ?[:(]|nullpointer|stack trace|segmentation|fehler|erreur|lorem|ipsum|(?:sample|dummy|filler|placeholder|example) (?:text|copy|content)|goes here|placeholder|blindtext|fülltext|platzhalter|hier steht|remplissage|relleno|segnaposto|заполнитель|占位|"
     r"to be (?:added|inserted|written|completed|filled)|coming soon|to follow|replace (?:it|this|me)|abstract: |undefined|(?:null|nan|none) (?:null|nan|none)|test[ ,]+test|ignore this|asdf|qwer|hjkl|xx+ xx|bla[ ,]+bla|foo bar|abc abc|"
     r"velit|amet|tellus|dolor|\b(\p{L}{2,12})(?: \1){4})"
 )

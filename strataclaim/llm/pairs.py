@@ -420,9 +420,11 @@ def defective_pairs(df: DataFrame, id_col: str, query_col: str, response_col: st
     framed = framed.join(full.select("frame", F.lit(True).alias("whole")), "frame", "left").join(longer, "frame", "left")
 
     # whole responses: shortened versions of their neighbours, and pile-ups at a length
-    stems = prefix_neighbours(open_.select("stem").unionByName(responses.select(F.rtrim("response").alias("stem"))), "stem").select(F.md5("text").alias("k"), F.lit(True).alias("shortened"))
+    # without closing marks, as one that lacks only its full stop isn't shortened
+    bare = lambda c: F.regexp_replace(c, r"[\s\p{P}]+$", "")
+    stems = prefix_neighbours(open_.select(bare("stem").alias("stem")).unionByName(responses.select(bare("response").alias("stem"))), "stem").select(F.md5("text").alias("k"), F.lit(True).alias("shortened"))
     limits = F.broadcast(length_limits(open_.select(F.length("stem").alias("length")), "length").select("length", F.lit(True).alias("limit")))
-    out = framed.withColumn("k", F.md5("stem")).withColumn("length", F.length("stem")).join(stems, "k", "left").join(limits, "length", "left")
+    out = framed.withColumn("k", F.md5(bare("stem"))).withColumn("length", F.length("stem")).join(stems, "k", "left").join(limits, "length", "left")
     cut_off = F.coalesce("odd_end", F.lit(False)) | (F.col("whole").isNull() & F.col("goes_on").isNotNull()) | F.col("shortened").isNotNull() | F.col("limit").isNotNull()
     found = known.unionByName(out.where(cut_off).select("id", F.lit("truncated").alias("defect")))
     return found.select(F.col("id").alias(id_col), "defect")

@@ -14,7 +14,7 @@ def low(c: str) -> str:
 
 
 def squeeze(c: str) -> str:
-    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({c}, '[\\s\\x0B]+', ' ', 'g'), ' ')"
 
 
 def has_any(t: str, words: Iterable[str]) -> str:

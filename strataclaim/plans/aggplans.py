@@ -67,9 +67,9 @@ def recompute_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "beliefs").select("id", F.round(belief_confidence(*n), 6).alias("confidence"))
 
 
-_EVID = f"""WITH m AS (SELECT id AS claim_id, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(query), '-', ' '), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 2)) AS ct, chunks_json FROM training_examples WHERE chunks_json IS NOT NULL),
+_EVID = f"""WITH m AS (SELECT id AS claim_id, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(query), '-', ' '), '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda w: length(w) > 2)) AS ct, chunks_json FROM training_examples WHERE chunks_json IS NOT NULL),
 j AS (SELECT claim_id, ct, unnest(from_json(chunks_json, '[{{"text":"VARCHAR","title":"VARCHAR","domain":"VARCHAR"}}]')) AS c FROM m WHERE json_valid(chunks_json)),
-o AS (SELECT claim_id, c.title AS title, c.domain AS source, lower(c.text) AS low, len(list_intersect(ct, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(c.text), '-', ' '), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 2)))) / greatest(1, len(ct)) AS overlap FROM j WHERE trim(coalesce(c.text, '')) <> ''),
+o AS (SELECT claim_id, c.title AS title, c.domain AS source, lower(c.text) AS low, len(list_intersect(ct, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(c.text), '-', ' '), '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda w: length(w) > 2)))) / greatest(1, len(ct)) AS overlap FROM j WHERE trim(coalesce(c.text, '')) <> ''),
 v AS (SELECT *, {sq.has_any("low", lx.SUPPORT_MARKERS)} AS sup, {sq.has_any("low", lx.CONTRADICT_MARKERS)} AS con FROM o),
 e AS (SELECT claim_id, title, source, overlap, CASE WHEN overlap >= 0.20 AND sup AND NOT con THEN 'support' WHEN overlap >= 0.20 AND con AND NOT sup THEN 'contradict' WHEN overlap >= 0.30 AND sup AND con THEN 'neutral' WHEN overlap >= 0.25 THEN 'neutral' END AS polarity, least(1.0, greatest(0.0, 0.65 * 0.7 + 0.35 * overlap)) AS score FROM v),
 k AS (SELECT * FROM e WHERE polarity IS NOT NULL)"""

@@ -166,7 +166,7 @@ def compare_rollouts(spark: SparkSession, d: str) -> DataFrame:
     return mean(b, "base").join(mean(raised, "raised"), "node").select("node", F.round("base", 6).alias("base"), F.round("raised", 6).alias("raised"), F.when(F.col("raised") - F.col("base") > 0.01, "positive").when(F.col("raised") - F.col("base") < -0.01, "negative").otherwise("neutral").alias("impact"))
 
 
-@query("""WITH n AS (SELECT id, trim(regexp_replace(regexp_replace(lower(subject), '[-_/]', ' ', 'g'), '\\s+', ' ', 'g')) AS k FROM observations WHERE subject IS NOT NULL), g AS (SELECT k, min(id) AS keep_id, count(*) AS n FROM n WHERE length(k) >= 4 AND k NOT LIKE 'the %' GROUP BY k)
+@query("""WITH n AS (SELECT id, trim(regexp_replace(regexp_replace(lower(subject), '[-_/]', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g'), ' ') AS k FROM observations WHERE subject IS NOT NULL), g AS (SELECT k, min(id) AS keep_id, count(*) AS n FROM n WHERE length(k) >= 4 AND k NOT LIKE 'the %' GROUP BY k)
 SELECT k AS concept, keep_id, n FROM g WHERE n >= 2""")
 def merge_identities(spark: SparkSession, d: str) -> DataFrame:
     """Concepts equal after normalising, merged into the first, without artifacts."""

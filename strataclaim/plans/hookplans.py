@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strataclaim.functions import dimensions, hooks
 from strataclaim.operators.retrieval import vector_topk
@@ -30,7 +31,7 @@ def claim_polarity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "p.label", "p.confidence")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _check(s: pd.Series) -> pd.Series:
     return s.map(dimensions.check)
 
@@ -42,7 +43,7 @@ def dimension_checks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("equation", _check("equation").alias("result"))
 
 
-@query("""SELECT id, trim(regexp_replace(belief_text, '\\s+', ' ', 'g')) AS squeezed, 'clm_' || left(sha1(belief_text), 12) AS sid,
+@query("""SELECT id, trim(regexp_replace(belief_text, '[\\s\\x0B]+', ' ', 'g'), ' ') AS squeezed, 'clm_' || left(sha1(belief_text), 12) AS sid,
  round(CASE WHEN s + c = 0 THEN 0.5 ELSE least(0.95, 0.3 + 0.65 * (s / (s + c + 0.1)) + least(0.1, 0.002 * (s + c))) END, 6) AS confidence FROM (SELECT id, belief_text, coalesce(supporting_count, 0)::DOUBLE AS s, coalesce(contradicting_count, 0)::DOUBLE AS c FROM beliefs)""")
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     """The scalar operators called as SQL functions."""

@@ -11,7 +11,7 @@ from strataclaim.functions import text as tx
 from strataclaim.plans.catalog import query
 from strataclaim.session import table
 
-_SQ = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_SQ = "trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' ')"
 
 
 @query("SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM chunks WHERE length(text) > 100 GROUP BY source")
@@ -61,7 +61,7 @@ def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("added", (F.col("total") - F.col("added")).alias("skipped"))
 
 
-@query("""WITH w AS (SELECT doc_id, title, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents),
+@query("""WITH w AS (SELECT doc_id, title, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS ws FROM documents),
 c AS (SELECT doc_id, unnest(range(0, greatest(len(ws), 1), 200)) AS k, ws FROM w),
 p AS (SELECT doc_id, CAST(floor(k / 200) AS INT) AS idx, array_to_string(ws[k + 1:k + 200], ' ') AS piece FROM c),
 h AS (SELECT *, row_number() OVER (PARTITION BY md5(lower(trim(piece))) ORDER BY doc_id, idx) AS rn FROM p WHERE length(piece) >= 50)

@@ -11,10 +11,10 @@ from strataclaim.functions import text as tx
 from strataclaim.plans.catalog import query
 from strataclaim.session import table
 
-_SENTENCES = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '')"
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?])[\\s\\x0B]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '[\\s\\x0B]+', ' ', 'g'), ' ')), lambda s: s <> '')"
 
 
-@query("""SELECT chunk_id, sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS dedupe_key, md5(lower(trim(text))) AS ingest_key, 'clm_' || left(sha1(text), 12) AS stable_id, left(md5(left(lower(trim(text)), 100)), 12) AS claim_key FROM chunks""")
+@query("""SELECT chunk_id, sha1(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' ')) AS dedupe_key, md5(lower(trim(text))) AS ingest_key, 'clm_' || left(sha1(text), 12) AS stable_id, left(md5(left(lower(trim(text)), 100)), 12) AS claim_key FROM chunks""")
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
     """The four normalisation keys of a text."""
     t = F.col("text")
@@ -25,7 +25,7 @@ def text_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def _chunks_sql(size: int, step: int, least: int) -> str:
     return f"""
-WITH w AS (SELECT chunk_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM chunks),
+WITH w AS (SELECT chunk_id, list_filter(string_split(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS ws FROM chunks),
 c AS (SELECT chunk_id, unnest(range(0, greatest(len(ws), 1), {step})) AS k, ws FROM w)
 SELECT chunk_id, CAST(floor(k / {step}) AS INT) AS chunk_idx, array_to_string(ws[k + 1:k + {size}], ' ') AS piece FROM c
 WHERE length(array_to_string(ws[k + 1:k + {size}], ' ')) >= {least}"""
@@ -148,7 +148,7 @@ def noise_tests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "observations").select("id", generic.alias("is_noise_concept"), artifact.alias("is_artifact"), tx.has_any(tx.low(F.concat_ws(" ", "subject", "predicate", "object")), lx.OBSERVATION_NOISE).alias("is_noise_observation"))
 
 
-@query("""SELECT id, trim(regexp_replace(regexp_replace(lower(trim(coalesce(subject, ''))), '[-_/]', ' ', 'g'), '\\s+', ' ', 'g')) AS subject_norm FROM observations""")
+@query("""SELECT id, trim(regexp_replace(regexp_replace(lower(trim(coalesce(subject, ''))), '[-_/]', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g'), ' ') AS subject_norm FROM observations""")
 def normalise_names(spark: SparkSession, d: str) -> DataFrame:
     """Concept names compared by lower case, with separators as blanks."""
     return table(spark, d, "observations").select("id", F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce("subject", F.lit("")))), "[-_/]", " "), r"\s+", " ")).alias("subject_norm"))
@@ -336,7 +336,7 @@ def clean_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", F.coalesce(F.try_variant_get(v, "$.year", "int"), F.lit(-1)).alias("year"), F.try_variant_get(v, "$.lang", "string").alias("lang"), v.isNotNull().alias("is_valid"))
 
 
-@query("""WITH w AS (SELECT unnest(string_split(lower(squeezed), ' ')) AS w FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS squeezed FROM documents WHERE lang = 'en' AND text IS NOT NULL)),
+@query("""WITH w AS (SELECT unnest(string_split(lower(squeezed), ' ')) AS w FROM (SELECT trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' ') AS squeezed FROM documents WHERE lang = 'en' AND text IS NOT NULL)),
 p AS (SELECT substr(w, i, 2) AS pair FROM (SELECT w, unnest(range(1, greatest(length(w), 1))) AS i FROM w))
 SELECT pair, count(*) AS n FROM p WHERE length(pair) = 2 GROUP BY pair""")
 def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +361,7 @@ def benchmark_context(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", F.regexp_extract(t, r"(\d+(?:\.\d+)?) percent", 1).alias("first_percent"), task.alias("task"), F.regexp_extract(t, r"\(n = (\d+)\)", 1).alias("sample_size"))
 
 
-@query("""WITH w AS (SELECT chunk_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS ws FROM chunks) SELECT chunk_id, array_to_string(ws, ' ') AS rebuilt FROM w""")
+@query("""WITH w AS (SELECT chunk_id, string_split(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' '), ' ') AS ws FROM chunks) SELECT chunk_id, array_to_string(ws, ' ') AS rebuilt FROM w""")
 def inverted_index_text(spark: SparkSession, d: str) -> DataFrame:
     """Texts rebuilt from inverted indexes (word to positions), the last word of a position winning."""
     src = table(spark, d, "chunks").select("chunk_id", F.posexplode(F.split(tx.squeeze(F.col("text")), " ")).alias("pos", "w"))

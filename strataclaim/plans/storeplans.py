@@ -64,8 +64,8 @@ def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, title, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS ws FROM documents),
 c AS (SELECT doc_id, unnest(range(0, greatest(len(ws), 1), 200)) AS k, ws FROM w),
 p AS (SELECT doc_id, CAST(floor(k / 200) AS INT) AS idx, array_to_string(ws[k + 1:k + 200], ' ') AS piece FROM c),
-h AS (SELECT *, row_number() OVER (PARTITION BY md5(lower(trim(piece))) ORDER BY doc_id, idx) AS rn FROM p WHERE length(piece) >= 50)
-SELECT doc_id, idx, md5(lower(trim(piece))) AS chunk_hash FROM h WHERE rn = 1""")
+h AS (SELECT *, row_number() OVER (PARTITION BY md5(lower(trim(piece, ' '))) ORDER BY doc_id, idx) AS rn FROM p WHERE length(piece) >= 50)
+SELECT doc_id, idx, md5(lower(trim(piece, ' '))) AS chunk_hash FROM h WHERE rn = 1""")
 def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents cut to chunks of 200 words, the first of each content kept."""
     p = table(spark, d, "documents").select("doc_id", F.posexplode(tx.word_chunks(F.coalesce("text", F.lit("")), 200, 200)).alias("idx", "piece")).where(F.length("piece") >= 50)

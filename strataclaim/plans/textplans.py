@@ -14,7 +14,7 @@ from strataclaim.session import table
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?])[\\s\\x0B]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '[\\s\\x0B]+', ' ', 'g'), ' ')), lambda s: s <> '')"
 
 
-@query("""SELECT chunk_id, sha1(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' ')) AS dedupe_key, md5(lower(trim(text))) AS ingest_key, 'clm_' || left(sha1(text), 12) AS stable_id, left(md5(left(lower(trim(text)), 100)), 12) AS claim_key FROM chunks""")
+@query("""SELECT chunk_id, sha1(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' ')) AS dedupe_key, md5(lower(trim(text, ' '))) AS ingest_key, 'clm_' || left(sha1(text), 12) AS stable_id, left(md5(left(lower(trim(text, ' ')), 100)), 12) AS claim_key FROM chunks""")
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
     """The four normalisation keys of a text."""
     t = F.col("text")

@@ -2,8 +2,8 @@
 
 1. *Boilerplate.* Normalised lines are counted by host (all documents; a document counts once a line);
    a line in at least ``MIN_SHARE`` of a host's documents is its boilerplate and not this document's.
-2. *Suspects.* One expression on the JVM side keeps the documents with any sign at all, so only these
-   leave it.
+2. *Suspects.* One pass with an automaton of literal signs keeps the documents with any sign at all;
+   only these are joined and searched.
 3. *Evidence.* The residual of a suspect (its text without boilerplate lines) is searched sentence by
    sentence. Code, formulas and quotations are masked first, and a sentence that speaks about markers,
    replies or filler instead of showing them is no evidence.
@@ -15,8 +15,10 @@ their rows. Extra columns are left out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -75,16 +77,36 @@ FILLER = regex.compile(
     r"|\babstract: (?:pending|tbd|tba|none)\b|\b(?:undefined|null|nan|none)(?: (?:undefined|null|nan|none)){2,}\b|(?:^|\s)(?:test[ ,]+){2,}test\b|\btest(?: \d+)? test\b.{0,30}\bplease ignore\b|\bplease ignore this (?:entry|record|text|message)\b"
     r"|\b(?:asdf|qwer|qwerty|jkl|hjkl|asdfjkl)\w*(?: (?:asdf|qwer|qwerty|jkl|hjkl|zxcv)\w*){2,}|(?:^|\s)(?:x{2,} ){3,}x{2,}|\b(?:bla[ ,]+){2,}bla\b|\b(\p{L}{2,12})(?: \1){4,}\b|(?:^|\s)(?:foo bar baz|abc abc abc)\b"
 )
-#: What a suspect must have at least, for the JVM (Java's syntax): a sign of any kind of evidence.
-SUSPECT = (
-    r"\{\{|\{[%#\w]|<[%?<A-Za-z]|\[\[|\[\s*[A-Za-z]{3}|[$#@]\{|%%|%[A-Z_]{3}|%\([a-zA-Z_]|@[A-Z@]|~[A-Z_]{3}|__[A-Za-z]|#[A-Z_]{3}|\$[A-Za-z]\w{2,40}\$|"
-    r"(?i:javascript|java script|\bscripts?\b|scripting|noscript|\bjs\b|skript|脚本|cookies|browser|"
-    r"\b[45]\d\d\b\W{0,4}(?:not|forb|unau|bad|gone|int|serv|gate|req|too|err|page|:)|http|not (?:be )?found|no longer|(?:could|can) ?not be|does not exist|has moved|been removed|removed from|withdrawn|introuvable|trouvée|gefunden|verfügbar|disponi|encontrad|trovata|найдена|页面|autoris|vuelva|"
-    r"denied|permission|authori|too many|unavailable|gateway|server error|connection (?:to|timed|was|refused|failed)|went wrong|failed to|unable to|oops|loading|try again|reload|session (?:has |timed|expired)|log in again|prove that|verify (?:that )?you|checking your|captcha|"
-    r"traceback|error|(?:exception|fault)\b ?[:(]|nullpointer|stack trace|segmentation|fehler|erreur|lorem|ipsum|(?:sample|dummy|filler|placeholder|example) (?:text|copy|content)|goes here|placeholder|blindtext|fülltext|platzhalter|hier steht|remplissage|relleno|segnaposto|заполнитель|占位|"
-    r"to be (?:added|inserted|written|completed|filled)|coming soon|to follow|replace (?:it|this|me)|abstract: |undefined|(?:null|nan|none) (?:null|nan|none)|test[ ,]+test|ignore this|asdf|qwer|hjkl|xx+ xx|bla[ ,]+bla|foo bar|abc abc|"
-    r"velit|amet|tellus|dolor|\b(\p{L}{2,12})(?: \1){4})"
+#: Literals of which a suspect must have one, lower-cased, or the sign of a slot (fixed values).
+SIGNS = tuple(
+    "javascript|java script|script|skript|脚本|cookies|browser|http|not found|not be found|no longer|could not|cannot be|does not exist|has moved|been removed|removed from|withdrawn|introuvable|non trouvée|gefunden|verfügbar|disponi|encontrad|trovata|найдена|页面|autoris|vuelva|"
+    "denied|permission|authori|too many|unavailable|gateway|server error|connection to|connection timed|connection was|connection refused|connection failed|went wrong|failed to|unable to|oops|loading|try again|reload|session has|session timed|session expired|log in again|prove that|verify you|verify that you|checking your|captcha|"
+    "traceback|error|exception:|nullpointer|stack trace|segmentation|fehler|erreur|lorem|ipsum|sample text|sample copy|sample content|dummy text|dummy copy|dummy content|filler|placeholder|example text|example copy|example content|goes here|blindtext|fülltext|platzhalter|hier steht|remplissage|relleno|segnaposto|заполнитель|占位|включите|启用|开启|"
+    "to be added|to be inserted|to be written|to be completed|to be filled|coming soon|to follow|replace it|replace this|replace me|abstract: |undefined|null null|nan nan|none none|test test|test, test|ignore this|asdf|qwer|hjkl|xx xx|xxx xx|bla bla|bla, bla|foo bar|abc abc|velit|amet|tellus|dolor|404|403|401|410|429|500|502|503|504".split("|")
 )
+_SLOT = re.compile(r"\{\{|\{[%#\w]|<[%?<A-Za-z]|\[\[|\[\s*[A-Za-z]{3}|[$#@]\{|%%|%[A-Z_]{3}|%\([a-zA-Z_]|@[A-Z@]|~[A-Z_]{3}|__[A-Za-z]|#[A-Z_]{3}|\$[A-Za-z]\w{2,40}\$")
+_SLOT_MARKS = "{<[@~#$%_"
+_REPEATED = re.compile(r"\b([^\W\d_]{2,12})(?: \1){4}")
+_CODE_NUMBER = re.compile(r"\b[45]\d\d\b\W{0,4}(?:not|forb|unau|bad|gone|int|serv|gate|req|too|err|page|:)", re.I)
+_AUTOMATON = None
+
+
+def is_suspect(text: str) -> bool:
+    """Whether a text has a sign of any kind of evidence; one pass over its characters."""
+    global _AUTOMATON
+    if _AUTOMATON is None:
+        _AUTOMATON = ahocorasick.Automaton()
+        for w in SIGNS:
+            _AUTOMATON.add_word(w, w)
+        _AUTOMATON.make_automaton()
+    for _, w in _AUTOMATON.iter(text.lower()):
+        # a bare number is a sign only before words that make it a reply
+        if not w.isdigit() or _CODE_NUMBER.search(text):
+            return True
+    if any(c in text for c in _SLOT_MARKS) and _SLOT.search(text):
+        return True
+    return bool(_REPEATED.search(text))
+
 
 _CODE = regex.compile(r"`[^`\n]{1,200}`|\$[^$\n]{0,120}[\\_^=][^$\n]{0,120}\$(?!\w)|\\[a-zA-Z]+(?:\{[^{}\n]*\}|\[[^\]\n]*\])*(?:[_^](?:\{[^{}\n]*\}|\w))*")
 _QUOTE = regex.compile(r"«[^»\n]*»|“[^”\n]*”|(?<![\w=])\"[^\"\n]{1,200}\"")
@@ -124,7 +146,14 @@ def residue(df: DataFrame, id_col: str, host_col: str, text_col: str, min_docs:
     """``(id_col, kind, sentence)`` of all evidence; a document without any has no row."""
     src = df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
-    suspects = src.where(F.col("text").rlike(SUSPECT)).select("id", "text")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [k for k, t in enumerate(b.column(1).to_pylist()) if is_suspect(t)]
+            if keep:
+                yield b.take(pa.array(keep))
+
+    suspects = src.where("text is not null").select("id", "text").mapInArrow(sift, f"id {id_type}, text string")
     drops = repeated_lines(src, "id", "host", "text", min_docs, min_share).groupBy("id").agg(F.collect_set("line_no").alias("drops"))
     rows = suspects.join(drops, "id", "left")
 

@@ -64,6 +64,8 @@ _SCRIPTS = {
     "hi": regex.compile(r"\p{Devanagari}"),
 }
 _LETTER = regex.compile(r"\p{L}")
+#: Anything beyond Latin letters and general punctuation.
+_OTHER_SCRIPT = regex.compile(r"[\u0370-\u1DFF\u2C00-\uD7FF\uF900-\U0010FFFF]")
 _QUOTED = regex.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|(?<!\w)\"[^\"\n]*\"|「[^」]*」|《[^》]*》")
 
 
@@ -73,13 +75,12 @@ def language(text: str) -> str | None:
     Scripts count by their share of letters, languages in Latin script by function words; words that
     several languages share count for each in part.
     """
-    letters = len(_LETTER.findall(text))
-    if not letters:
-        return None
-    for lang, p in _SCRIPTS.items():
-        # a letter of a script without spaces stands for more than one of a word
-        if len(p.findall(text)) * (3 if lang in ("zh", "ja", "ko") else 1) > letters / 2:
-            return lang
+    if _OTHER_SCRIPT.search(text):
+        letters = len(_LETTER.findall(text))
+        for lang, p in _SCRIPTS.items():
+            # a letter of a script without spaces stands for more than one of a word
+            if len(p.findall(text)) * (3 if lang in ("zh", "ja", "ko") else 1) > letters / 2:
+                return lang
     score: Counter = Counter()
     for w in words(text):
         for lang in (found := _WORD_LANGS.get(w, ())):

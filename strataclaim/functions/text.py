@@ -28,8 +28,15 @@ def has_any(text: Column, words: Iterable[str]) -> Column:
     return reduce(or_, (text.contains(w) for w in words))
 
 
-def matches_any(text: Column, patterns: Iterable[str]) -> Column:
-    return reduce(or_, (text.rlike(p) for p in patterns))
+def matches_any(text: Column, patterns: Iterable[str], literals: Iterable[str] | None = None) -> Column:
+    """Whether a text matches any of the patterns.
+
+    ``literals`` has, for each pattern, a string that every match contains: a search for bytes that
+    spares most texts the pattern.
+    """
+    if literals is None:
+        return reduce(or_, (text.rlike(p) for p in patterns))
+    return reduce(or_, (text.contains(w) & text.rlike(p) for p, w in zip(patterns, literals, strict=True)))
 
 
 def count_of(text: Column, words: Iterable[str]) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataclaim.functions import lexicons as lx
 from strataclaim.functions.text import clamp
-from strataclaim.session import cut
+from strataclaim.session import broadcast_checked, cut
 
 DECAY, STEP_SCALE, NOISE, START_NOISE = 0.96, 0.04, 0.005, 0.05
 
@@ -40,22 +42,40 @@ def transitions(edges: DataFrame, scale: float = STEP_SCALE) -> DataFrame:
     return edges.select("source", "target", sign.alias("sign"), F.round(F.col("weight") * most * scale, 5).alias("strength"))
 
 
-def step(beliefs: DataFrame, moves: DataFrame, keys: tuple[str, ...] = (), focus: tuple[str, ...] = (), noise: Column | None = None, decay: float = DECAY) -> DataFrame:
-    """One propagation step of ``(*keys, node, belief)`` along transitions.
+def adjacency(moves: DataFrame) -> DataFrame:
+    """Transitions by source, ``(source, out)``, materialised once; broadcast if a count proves them few.
+
+    A list holds the edges of one node; where edges are too many to broadcast they are joined by
+    shuffle, still once a step.
+    """
+    moves = cut(moves)
+    _, small = broadcast_checked(moves)
+    out = moves.groupBy("source").agg(F.collect_list(F.struct("target", "sign", "strength")).alias("out"))
+    return F.broadcast(out) if small else out
+
+
+def step(beliefs: DataFrame, out_edges: DataFrame, keys: tuple[str, ...] = (), focus: tuple[str, ...] = (), noise: Callable[[Column], Column] | None = None, decay: float = DECAY) -> DataFrame:
+    """One propagation step of ``(*keys, node, belief)`` along ``adjacency``.
 
     A node gains the signed strength of each incoming edge times its source's distance from .5, and
     is drawn back to .5. Edges that touch a node of ``focus`` are 2.5 times as strong, up to .12.
-    ``noise`` is a column added for each edge.
+    ``noise`` of an edge's target is added to its push. Each row gives itself and its pushes, which one
+    aggregation by node adds up, so a step is one join and one shuffle and refers to its input once.
     """
-    s = F.col("strength")
-    if focus:
-        s = F.when(F.col("source").isin(*focus) | F.col("target").isin(*focus), F.least(s * 2.5, F.lit(0.12))).otherwise(s)
-    push = F.col("sign") * F.abs(F.col("belief") - 0.5) * 2.0 * s
-    if noise is not None:
-        push = push + noise
-    pushed = beliefs.join(moves, F.col("node") == F.col("source")).select(*keys, F.col("target").alias("node"), push.alias("push")).groupBy(*keys, "node").agg(F.sum("push").alias("push"))
-    b = F.col("belief")
-    return beliefs.join(pushed, [*keys, "node"], "left").select(*keys, "node", clamp(b + F.coalesce("push", F.lit(0.0)) + (0.5 - b) * (1 - decay), 0.0, 1.0).alias("belief"))
+    pull = F.abs(F.col("belief") - 0.5) * 2.0
+
+    def push(e: Column) -> Column:
+        s = e["strength"]
+        if focus:
+            s = F.when(F.col("node").isin(*focus) | e["target"].isin(*focus), F.least(s * 2.5, F.lit(0.12))).otherwise(s)
+        p = e["sign"] * pull * s
+        return p if noise is None else p + noise(e["target"])
+
+    own = F.array(F.struct(F.col("node").alias("n"), F.col("belief").alias("b"), F.lit(0.0).alias("p")))
+    pushes = F.transform("out", lambda e: F.struct(e["target"].alias("n"), F.lit(None).cast("double").alias("b"), push(e).alias("p")))
+    rows = beliefs.join(out_edges, F.col("node") == F.col("source"), "left").select(*keys, F.explode(F.when(F.col("out").isNull(), own).otherwise(F.concat(own, pushes))).alias("x"))
+    sums = rows.groupBy(*keys, F.col("x.n").alias("node")).agg(F.max("x.b").alias("b"), F.sum("x.p").alias("push")).where("b is not null")
+    return sums.select(*keys, "node", clamp(F.col("b") + F.col("push") + (0.5 - F.col("b")) * (1 - decay), 0.0, 1.0).alias("belief"))
 
 
 def gaussian(*parts: Column | str, seed: int = 42) -> Column:
@@ -67,14 +87,15 @@ def gaussian(*parts: Column | str, seed: int = 42) -> Column:
 def rollouts(beliefs: DataFrame, moves: DataFrame, sims: int = 500, steps: int = 8, focus: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
     """Final beliefs ``(sim, node, belief)`` of noisy rollouts from jittered starts.
 
-    The simulations are rows; each step is a join and a sum by (sim, node). The lineage is cut half
+    The simulations are rows; each step is a join and a sum by (sim, node), with the edges broadcast. The lineage is cut half
     way, as eight steps of joins would make the plan long. Noise is a hash of (seed, sim, step, edge),
     so a lost executor's part comes out the same again.
     """
     start = beliefs.select(F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"), "node", "belief")
+    out_edges = adjacency(moves)
     state = start.select("sim", "node", clamp(F.col("belief") + START_NOISE * gaussian("sim", "node", seed=seed), 0.0, 1.0).alias("belief"))
     for n in range(steps):
-        state = step(state, moves, ("sim",), focus, NOISE * gaussian("sim", F.lit(n), "source", "target", seed=seed + 1))
+        state = step(state, out_edges, ("sim",), focus, lambda target, n=n: NOISE * gaussian("sim", F.lit(n), "node", target, seed=seed + 1))
         if n == steps // 2 - 1:
             state = cut(state)
     return state

@@ -125,6 +125,7 @@ def edge_transitions(spark: SparkSession, d: str) -> DataFrame:
 def propagate(spark: SparkSession, d: str) -> DataFrame:
     """Beliefs after four steps without noise."""
     b, t = _state(spark, d)
+    t = graph.adjacency(t)
     for _ in range(4):
         b = graph.step(b, t)
     return b.select("node", F.round("belief", 5).alias("belief"))
@@ -134,6 +135,7 @@ def propagate(spark: SparkSession, d: str) -> DataFrame:
 def propagate_focused(spark: SparkSession, d: str) -> DataFrame:
     """Beliefs after four steps in which edges of two nodes are stronger."""
     b, t = _state(spark, d)
+    t = graph.adjacency(t)
     for _ in range(4):
         b = graph.step(b, t, focus=_FOCUS)
     return b.select("node", F.round("belief", 5).alias("belief"))
@@ -143,6 +145,7 @@ def propagate_focused(spark: SparkSession, d: str) -> DataFrame:
 def field_score(spark: SparkSession, d: str) -> DataFrame:
     """Mean belief in benefits against that in costs."""
     b, t = _state(spark, d)
+    t = graph.adjacency(t)
     for _ in range(2):
         b = graph.step(b, t)
     mean = lambda w: F.coalesce(F.avg(F.when(F.col("node").contains(w), F.col("belief"))), F.lit(0.5))

@@ -128,6 +128,7 @@ def report_rollup(spark: SparkSession, d: str) -> DataFrame:
 def trajectory(spark: SparkSession, d: str) -> DataFrame:
     """Mean belief and the number of high ones after each step."""
     b, t = _state(spark, d)
+    t = graph.adjacency(t)
     out = None
     for n in range(4):
         row = b.agg(F.round(F.avg("belief"), 5).alias("mean"), F.count_if(F.col("belief") > 0.72).alias("high")).select(F.lit(n).alias("step"), "mean", "high")

@@ -56,13 +56,13 @@ def split_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def _bad(s):
     low = F.lower(s)
-    return (F.length(s) < 40) | s.rlike(r"^\[\d+\]") | (F.length(s) > 500) | tx.matches_any(low, lx.BAD_SENTENCES) | low.rlike(r"^(abstract|introduction|keywords)")
+    return (F.length(s) < 40) | s.rlike(r"^\[\d+\]") | (F.length(s) > 500) | tx.matches_any(low, lx.BAD_SENTENCES, lx.BAD_LITERALS) | low.rlike(r"^(abstract|introduction|keywords)")
 
 
 def _claimlike(s):
     low = F.lower(s)
     cue, numeric, result, method = tx.has_any(low, lx.CLAIM_CUES), low.rlike(lx.NUMERIC_SIGNAL), low.rlike(lx.RESULT_SIGNAL), low.rlike(lx.METHOD_SIGNAL)
-    return ~_bad(s) & ((cue & (result | method | numeric)) | (result & method) | (numeric & result))
+    return ~_bad(s) & ((result & (numeric | method | cue)) | (cue & (numeric | method)))
 
 
 _BAD_SQL = f"(length(s) < 40 OR regexp_matches(s, '^\\[\\d+\\]') OR length(s) > 500 OR {sq.matches_any('lower(s)', lx.BAD_SENTENCES)} OR regexp_matches(lower(s), '^(abstract|introduction|keywords)'))"
@@ -269,7 +269,7 @@ def evidence_quality(spark: SparkSession, d: str) -> DataFrame:
     num, met, definition, theory = (plain.rlike("(?i)" + p) for p in (lx.EVIDENCE_NUMERIC, lx.EVIDENCE_METHOD, lx.EVIDENCE_DEFINITION, lx.EVIDENCE_THEORY))
     a = tx.yes(num, 0.45) + tx.yes(met, 0.45) + tx.yes(theory, 0.55) - tx.yes(definition & ~theory, 0.25) - tx.yes(F.length(t) < 180, 0.10)
     b = tx.yes(num, 0.45) + tx.yes(met, 0.45) - tx.yes(definition, 0.25) - tx.yes(F.length(t) < 220, 0.15)
-    return table(spark, d, "chunks").select("chunk_id", tx.matches_any(F.lower(t), lx.NEGATIONS).alias("is_negated"), F.round(tx.clamp(a, 0.15, 1.0), 6).alias("quality_a"), F.round(tx.clamp(b, 0.0, 1.0), 6).alias("quality_b"))
+    return table(spark, d, "chunks").select("chunk_id", tx.matches_any(F.lower(t), lx.NEGATIONS, lx.NEGATION_LITERALS).alias("is_negated"), F.round(tx.clamp(a, 0.15, 1.0), 6).alias("quality_a"), F.round(tx.clamp(b, 0.0, 1.0), 6).alias("quality_b"))
 
 
 @query(f"""SELECT chunk_id, CASE WHEN contains({sq.low("source")}, 'wikipedia') THEN 0.55 WHEN contains({sq.low("source")}, 'crossref') THEN 0.65 ELSE 1.0 END::DOUBLE AS source_weight,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,17 @@ def build_session(cores: str = "*", app: str = "strataclaim", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def _find_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever their folder."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    _find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

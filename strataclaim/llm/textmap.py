@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: ASCII texts take the quick way: all that is neither letter nor digit becomes a blank.
+_BEYOND = re.compile(r"[^\x00-\x7F]")
 _ASCII = {i: (chr(i).lower() if chr(i).isalnum() else " ") for i in range(128)}
 
 
@@ -19,9 +22,14 @@ def words(text: str | None) -> list[str]:
     """The words of a text: unbroken runs of letters and digits of any script, lower-cased."""
     if not text:
         return []
-    if text.isascii():
-        return text.translate(_ASCII).split()
-    return WORD.findall(text.lower())
+    if not text.isascii():
+        # a few marks beyond ASCII become blanks; letters beyond it take the long way
+        marks = set(_BEYOND.findall(text))
+        if len(marks) > 8 or WORD.search("".join(marks)):
+            return WORD.findall(text.lower())
+        for c in marks:
+            text = text.replace(c, " ")
+    return text.translate(_ASCII).split()
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -66,7 +74,7 @@ def shingle_hashes(docs: list[list[str]], n: int, cache: WordHashes) -> tuple[np
     sizes = np.fromiter((len(w) for w in docs), np.int64, len(docs))
     total = int(sizes.sum())
     get = cache.__getitem__
-    flat = np.fromiter((get(x) for w in docs for x in w), np.uint64, total)
+    flat = np.fromiter(map(get, chain.from_iterable(docs)), np.uint64, total)
     counts = np.maximum(sizes - (n - 1), 0)
     if total < n:
         return np.empty(0, np.uint64), np.zeros(len(docs), np.int64)

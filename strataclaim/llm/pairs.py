@@ -69,6 +69,11 @@ _OTHER_SCRIPT = regex.compile(r"[\u0370-\u1DFF\u2C00-\uD7FF\uF900-\U0010FFFF]")
 _QUOTED = regex.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|(?<!\w)\"[^\"\n]*\"|「[^」]*」|《[^》]*》")
 
 
+def unquoted(text: str) -> str:
+    """A text with its quotations as blanks."""
+    return _QUOTED.sub(" ", text) if any(c in text for c in '«“„"「《') else text
+
+
 def language(text: str) -> str | None:
     """The language most of a text is written in, or None if nothing tells.
 
@@ -172,6 +177,10 @@ REFUSALS = tuple(
         r"\bnon (?:posso|potrei|sono in grado|sono autorizzat|desidero)\b.{0,60}?(?:aiut|rispond|comment|valut|giudic|fornir|discut|esprim)|preferisco non|mi rifiuto|devo (?:rifiutar|declinar)|non mi (?:permett|consent)",
     )
 )
+#: A word or stem of each of the patterns above.
+_GATE = regex.compile(
+    r"(?i)\b(?:I|me|my|our|us|we (?:assistants|models)|assistant|system|service|model|chatbot|bot|tool|ai|has blocked|comment|can do|pass on|something else|elsewhere|silent|unanswered|open for|scope of|ich|ablehn\w*|beantwort\w*|mir|je|m['’]interdi\w*|préfère|permet\w*|puedo|debo|quiero|podr\w*|estoy|tengo|soy|negarme|permiten?|prefiero|niego|posso|potrei|sono|desidero|preferisco|rifiut\w*|devo|mi)\b|polic|guideline|principle|rules|instructions|richtlinien|regeln"
+)
 _NUMBER = regex.compile(r"\d")
 
 
@@ -181,7 +190,11 @@ def is_refusal(response: str, most_sentences: int = 5, most_words: int = 90) ->
     Quoted speech doesn't count. A response with a refusing sentence is one if it is short and the
     other sentences (a greeting, a general opening, an offer, advice) hold no figures.
     """
-    lines = [_STEP_HEAD.sub("", line) for line in _QUOTED.sub(" ", response).split("\n")]
+    said = unquoted(response)
+    # most responses are too long or have none of the words that every refusal has one of
+    if said.count(" ") > 2 * most_words or not _GATE.search(said):
+        return False
+    lines = [_STEP_HEAD.sub("", line) for line in said.split("\n")]
     parts = [s for line in lines for s in _SENTENCE.split(line) if s and _LETTER.search(s)]
     if not parts or len(parts) > most_sentences or sum(len(words(s)) for s in parts) > most_words:
         return False
@@ -192,7 +205,7 @@ def is_refusal(response: str, most_sentences: int = 5, most_words: int = 90) ->
 
 def is_foreign(query: str | None, response: str) -> bool:
     """Whether a full answer is in another language than its query; quotations don't count."""
-    a, b = language(query or ""), language(_QUOTED.sub(" ", response))
+    a, b = language(query or ""), language(unquoted(response))
     return a is not None and b is not None and a != b
 
 

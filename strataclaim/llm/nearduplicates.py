@@ -12,7 +12,8 @@ Improved consistent weighted sampling over TF-IDF weighted shingles, banded, ver
    weighted sampling from a hash; the record keeps the shingle with the least a. As weights come in
    few levels and draws are taken from 2**16 hash values, a and t are looked up in a table that is the
    same everywhere, by (level, hash): the rank of a within the table decides, and two records share a
-   sample exactly if they share the shingle and its t.
+   sample exactly if they share the shingle and its t. A passage that many records hold weighs little
+   in these, so every record also draws samples in which all its shingles weigh the same.
 4. *Bands.* ``rows`` samples make one band hash; (band hash, key) rows are shuffled once and sorted,
    and equal hashes are paired as they stream by. A run over ``BLOCK`` keys isn't paired by one task:
    its keys are cut into blocks, and pairs of blocks are joined by salted keys, so no case is dropped.
@@ -37,6 +38,8 @@ from strataclaim.llm.textmap import WordHashes, mix, shingle_hashes, words
 from strataclaim.session import write_cut
 
 BANDS, ROWS = 36, 3
+#: Bands and rows of the samples of equal weights: of pairs at a set similarity of 0.5, 0.99 share a band.
+FLAT_BANDS, FLAT_ROWS = 72, 4
 SKETCH_BITS = 20
 BLOCK = 1_000
 LEVELS = 8
@@ -153,13 +156,6 @@ def band_hashes(h: np.ndarray, counts: np.ndarray, levels: np.ndarray, table: np
     has = np.flatnonzero(counts)
     starts = (np.cumsum(counts) - counts)[has]
     level = levels[(h >> np.uint64(40 - bits)).astype(np.int64)]
-    # shingles of the lowest level weigh next to nothing beside others; they count where there are few
-    rare = level > 0
-    few = np.repeat(np.add.reduceat(rare, starts, dtype=np.int64) < 4, counts[has])
-    keep = rare | few
-    h, level = h[keep], level[keep]
-    kept = np.add.reduceat(keep, starts, dtype=np.int64)
-    starts = np.cumsum(kept) - kept
     base = level.astype(np.uint32) << np.uint32(16)
     mixed = mix(h + np.uint64(1))
     seed, own = (mixed >> np.uint64(32)).astype(np.uint32), mixed.astype(np.uint32) & np.uint32(2**13 - 1)
@@ -180,7 +176,29 @@ def band_hashes(h: np.ndarray, counts: np.ndarray, levels: np.ndarray, table: np
     return out
 
 
-def _bands(n: int, levels, bits: int, bands: int, rows: int):
+def flat_hashes(h: np.ndarray, counts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band hashes (records x bands) of samples in which all shingles of a record weigh the same."""
+    rng = np.random.default_rng(13)
+    mul = rng.integers(0, 2**31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 2**32, bands * rows, np.uint32)
+    has = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[has]
+    seed = (mix(h + np.uint64(2)) >> np.uint64(32)).astype(np.uint32)
+    drawn = np.empty_like(seed)
+    out = np.zeros((len(has), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(bands * rows):
+            np.multiply(seed, mul[k], out=drawn)
+            drawn += add[k]
+            best = np.minimum.reduceat(drawn, starts).astype(np.uint64)
+            b = k // rows
+            # numbered apart from the weighted bands
+            out[:, b] = (out[:, b] * np.uint64(0x100000001B3)) ^ mix(best + np.uint64((2**20 + b) << 32))
+        out = mix(out)
+    return out
+
+
+def _bands(n: int, levels, bits: int, bands: int, rows: int, flat_bands: int, flat_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, table = WordHashes(), sampling_table()
         level = np.frombuffer(levels.value, np.uint8)
@@ -192,8 +210,10 @@ def _bands(n: int, levels, bits: int, bands: int, rows: int):
             # repeats change no minimum, so they may stay
             h >>= np.uint64(24)
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass"))[:8] for ws, c in zip(docs, counts) if c), np.int64)
-            hs = band_hashes(h, counts, level, table, bits, bands, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(hs.ravel().view(np.int64)), pa.array(np.repeat(keys, bands))], names=["band", "key"])
+            hs = np.concatenate([band_hashes(h, counts, level, table, bits, bands, rows), flat_hashes(h, counts, flat_bands, flat_rows)], axis=1)
+            # 48 bits keep rows small; bands that share a hash by chance only add candidates
+            hs >>= np.uint64(16)
+            yield pa.RecordBatch.from_arrays([pa.array(hs.ravel().view(np.int64)), pa.array(np.repeat(keys, hs.shape[1]))], names=["band", "key"])
 
     return run
 
@@ -267,7 +287,7 @@ def _verify(n: int, parts: int, levels, bits: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_cols: tuple[str, ...], shingle: int = 5, threshold: float = 0.8, measure: str = "weighted_jaccard", bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str, text_cols: tuple[str, ...], shingle: int = 5, threshold: float = 0.8, measure: str = "weighted_jaccard", bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, block: int = BLOCK, flat_bands: int = FLAT_BANDS, flat_rows: int = FLAT_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(pairs, members)`` of near-duplicate records.
 
     ``pairs`` has ``(rep_a, rep_b, jaccard, weighted_jaccard)``, rep_a < rep_b: representatives of
@@ -282,7 +302,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_cols: tuple[str, ...], shin
     keyed = records.where("key is not null").select("id", "key", "key2")
     levels = spark.sparkContext.broadcast(sketch_levels(counted, records.count(), bits, step).tobytes())
 
-    banded = src.mapInArrow(_bands(shingle, levels, bits, bands, rows), "band bigint, key bigint")
+    banded = src.mapInArrow(_bands(shingle, levels, bits, bands, rows, flat_bands, flat_rows), "band bigint, key bigint")
     runs = banded.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_pair_runs(block), "kind int, a bigint, b bigint, at int")
     runs = write_cut(runs)
     plain = runs.where("kind = 0").select("a", "b")

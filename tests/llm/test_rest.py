@@ -36,6 +36,24 @@ def test_near_duplicates_equal_brute_force(spark, block):
     assert got == want
 
 
+def test_family_of_a_third_of_all_rows(spark):
+    """Copies with edits of a passage so common that its own shingles weigh next to nothing."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    base = [word() for _ in range(80)]
+    texts = [[word() for _ in range(80)] for _ in range(300)]
+    for k in range(150):
+        w = list(base)
+        for at in rnd.sample(range(80), 1 + k % 2):
+            w[at] = f"own{k}"
+        texts.append(w)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
+    pairs, members = nearduplicates.near_duplicates(df, "id", ("text",), 3, 0.5, "jaccard")
+    got = {tuple(r) for r in nearduplicates.all_pairs(pairs, members).collect()}
+    sets = [shingles(" ".join(t)) for t in texts]
+    assert got == {(a, b) for a in range(450) for b in range(a + 1, 450) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])} and len(got) >= 150 * 149 // 2
+
+
 def test_sampling_estimates_similarity():
     rnd = random.Random(2)
     texts = corpus(rnd)[:31] + corpus(rnd)[60:61]

@@ -1,7 +1,8 @@
 """Problem 9: template residue, filler, error pages and script notices among real content.
 
 1. *Boilerplate.* Normalised lines are counted by host (all documents; a document counts once a line);
-   a line in at least ``MIN_SHARE`` of a host's documents is its boilerplate and not this document's.
+   a line in at least ``MIN_SHARE`` of a host's documents is its boilerplate and not this document's,
+   unless it is residue itself; of script notices only those with other content beside are a host's.
 2. *Suspects.* One pass with an automaton of literal signs keeps the documents with any sign at all;
    only these are joined and searched.
 3. *Evidence.* The residual of a suspect (its text without boilerplate lines) is searched sentence by
@@ -110,6 +111,7 @@ def is_suspect(text: str) -> bool:
 
 _CODE = regex.compile(r"`[^`\n]{1,200}`|\$[^$\n]{0,120}[\\_^=][^$\n]{0,120}\$(?!\w)|\\[a-zA-Z]+(?:\{[^{}\n]*\}|\[[^\]\n]*\])*(?:[_^](?:\{[^{}\n]*\}|\w))*")
 _QUOTE = regex.compile(r"«[^»\n]*»|“[^”\n]*”|(?<![\w=])\"[^\"\n]{1,200}\"")
+_WORD = regex.compile(r"[\p{L}\p{N}]")
 _SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 #: A template's slot in dollar signs isn't a formula.
 _DOLLAR_SLOT = regex.compile(r"\$[\p{L}]\w{2,40}\$(?!\w)")
@@ -142,6 +144,16 @@ def _is_latin(sentence: str) -> bool:
     return len(ws) >= 8 and sum(w in _LATIN for w in ws) > 0.7 * len(ws)
 
 
+def without_boilerplate(text: str, drops: set[int]) -> str:
+    """A text without those of the lines numbered ``drops`` that are no evidence.
+
+    A script notice goes where other lines have content (it is the host's footer), not where it is all there is.
+    """
+    lines = [(k not in drops, x, {kind for kind, _ in evidence(x)}) for k, x in enumerate(text.split("\n"), 1)]
+    alone = not any(not kinds and _WORD.search(x) for _, x, kinds in lines)
+    return "\n".join(x for own, x, kinds in lines if own or kinds - {"script"} or kinds and alone)
+
+
 def residue(df: DataFrame, id_col: str, host_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """``(id_col, kind, sentence)`` of all evidence; a document without any has no row."""
     src = df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
@@ -162,8 +174,7 @@ def residue(df: DataFrame, id_col: str, host_col: str, text_col: str, min_docs:
             found = []
             for i, t, ds in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if ds:
-                    gone = set(ds)
-                    t = "\n".join(x for k, x in enumerate(t.split("\n"), 1) if k not in gone)
+                    t = without_boilerplate(t, set(ds))
                 found += [(i, kind, s) for kind, s in evidence(t)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (b.schema.field(0).type, pa.string(), pa.string()))], names=["id", "kind", "sentence"])

@@ -164,3 +164,14 @@ def test_residue_of_hosts(spark):
     rows = [(k, "h", f"Good text {k}.\n{footer}") for k in range(30)] + [(50, "other", footer), (51, None, "Access denied."), (52, "h", None), (53, "h", ""), (54, "h", "good " * 50_000 + "404 Not Found")]
     df = spark.createDataFrame(rows, "id long, host string, text string").selectExpr("*", "'x' as kind")
     assert sorted(r.id for r in residue.residue(df, "id", "host", "text").select("id").distinct().collect()) == [50, 51, 54]
+
+
+def test_residue_that_repeats(spark):
+    """Error pages, fillers and bare script notices stay evidence however many documents of a host are one."""
+    often = ["404 Not Found", "Lorem ipsum dolor sit amet.", "Please enable JavaScript to view this page."]
+    rows = [(k, "h", f"Good text {'x' * k}.") for k in range(300)]
+    rows += [(1000 + 100 * n + k, f"h{n}", line) for n, line in enumerate(often) for k in range(60)]
+    rows += [(2000 + k, "mixed", f"Good text {'y' * k}.\n404 Not Found\nAll rights are reserved.") for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    found = {r.id for r in residue.residue(df, "id", "host", "text").select("id").distinct().collect()}
+    assert found == {i for i, _, t in rows if i >= 1000}

@@ -78,35 +78,54 @@ FILLER = regex.compile(
     r"|\babstract: (?:pending|tbd|tba|none)\b|\b(?:undefined|null|nan|none)(?: (?:undefined|null|nan|none)){2,}\b|(?:^|\s)(?:test[ ,]+){2,}test\b|\btest(?: \d+)? test\b.{0,30}\bplease ignore\b|\bplease ignore this (?:entry|record|text|message)\b"
     r"|\b(?:asdf|qwer|qwerty|jkl|hjkl|asdfjkl)\w*(?: (?:asdf|qwer|qwerty|jkl|hjkl|zxcv)\w*){2,}|(?:^|\s)(?:x{2,} ){3,}x{2,}|\b(?:bla[ ,]+){2,}bla\b|\b(\p{L}{2,12})(?: \1){4,}\b|(?:^|\s)(?:foo bar baz|abc abc abc)\b"
 )
-#: Literals of which a suspect must have one, lower-cased, or the sign of a slot (fixed values).
+#: Literals, lower-cased; with the patterns below, evidence of any kind has one (fixed values).
 SIGNS = tuple(
     "javascript|java script|script|skript|脚本|cookies|browser|http|not found|not be found|no longer|could not|cannot be|does not exist|has moved|been removed|removed from|withdrawn|introuvable|non trouvée|gefunden|verfügbar|disponi|encontrad|trovata|найдена|页面|autoris|vuelva|"
-    "denied|permission|authori|too many|unavailable|gateway|server error|connection to|connection timed|connection was|connection refused|connection failed|went wrong|failed to|unable to|oops|loading|try again|reload|session has|session timed|session expired|log in again|prove that|verify you|verify that you|checking your|captcha|"
-    "traceback|error|exception:|nullpointer|stack trace|segmentation|fehler|erreur|lorem|ipsum|sample text|sample copy|sample content|dummy text|dummy copy|dummy content|filler|placeholder|example text|example copy|example content|goes here|blindtext|fülltext|platzhalter|hier steht|remplissage|relleno|segnaposto|заполнитель|占位|включите|启用|开启|"
-    "to be added|to be inserted|to be written|to be completed|to be filled|coming soon|to follow|replace it|replace this|replace me|abstract: |undefined|null null|nan nan|none none|test test|test, test|ignore this|asdf|qwer|hjkl|xx xx|xxx xx|bla bla|bla, bla|foo bar|abc abc|velit|amet|tellus|dolor|404|403|401|410|429|500|502|503|504".split("|")
+    "denied|permission|not have access|authori|too many|unavailable|gateway|server error|connection to|connection timed|connection was|connection refused|connection failed|went wrong|failed to|unable to|oops|loading|try again|reload|session has|session timed|session expired|log in again|prove that|verify you|verify that you|checking your|captcha|"
+    "traceback|error|exception:|nullpointer|stack trace|segmentation|.java:|fehler|erreur|lorem|ipsum|sample text|sample copy|sample content|dummy text|dummy copy|dummy content|filler|placeholder|example text|example copy|example content|go here|goes here|text here|blindtext|fülltext|platzhalter|hier steht|remplissage|relleno|segnaposto|заполнитель|占位|включите|启用|开启|"
+    "to be added|to be inserted|to be written|to be completed|to be filled|coming soon|to follow|replace it|replace this|replace me|abstract: |undefined|null null|null nan|null none|nan nan|nan null|nan none|none none|none null|none nan|please ignore|ignore this|asdf|qwer|jkl|xx xx|foo bar|abc abc".split("|")
 )
-_SLOT = re.compile(r"\{\{|\{[%#\w]|<[%?<A-Za-z]|\[\[|\[\s*[A-Za-z]{3}|[$#@]\{|%%|%[A-Z_]{3}|%\([a-zA-Z_]|@[A-Z@]|~[A-Z_]{3}|__[A-Za-z]|#[A-Z_]{3}|\$[A-Za-z]\w{2,40}\$")
+_SLOT = regex.compile(r"\{\{|\{[%#\w]|<[%?<\p{L}]|\[\[|\[\s*\p{L}{2}|[$#@]\{|%%|%[\p{Lu}_]{3}|%\([\p{L}_]|@[\p{Lu}@_]|~[\p{Lu}_]{3}|__\p{L}|#[\p{Lu}_]{3}|\$\p{L}\w{2,40}\$")
 _SLOT_MARKS = "{<[@~#$%_"
-_REPEATED = re.compile(r"\b([^\W\d_]{2,12})(?: \1){4}")
-_CODE_NUMBER = re.compile(r"\b[45]\d\d\b\W{0,4}(?:not|forb|unau|bad|gone|int|serv|gate|req|too|err|page|:)", re.I)
+_REPEATED = regex.compile(r"(?i)\b(\p{L}{2,12})(?: \1){4}")
+_CODE_NUMBER = re.compile(r"[45]\d\d\s*(?:[-–—:|]\s*)?(?:not found|forbidden|unauth|bad |gone|internal|service|gateway|request|too many|error|page|:)")
+_JS = regex.compile(r"\bjs\b")
+_TWICE = re.compile(r"(test|bla)[ ,]+\1")
+#: Letters that patterns without case take for others, though lower-casing doesn't.
+_FOLDS = (("ſ", "s"), ("ı", "i"), ("i\u0307", "i"))
+#: Any character that masks a part of a sentence.
+_MASKS = "`\"$\\«“"
 _AUTOMATON = None
 
 
-def is_suspect(text: str) -> bool:
-    """Whether a text has a sign of any kind of evidence; one pass over its characters."""
+def _has_sign(text: str) -> bool:
+    """Whether a text has a sign of any kind of evidence."""
     global _AUTOMATON
     if _AUTOMATON is None:
         _AUTOMATON = ahocorasick.Automaton()
         for w in SIGNS:
             _AUTOMATON.add_word(w, w)
         _AUTOMATON.make_automaton()
-    for _, w in _AUTOMATON.iter(text.lower()):
-        # a bare number is a sign only before words that make it a reply
-        if not w.isdigit() or _CODE_NUMBER.search(text):
-            return True
+    low = text.lower()
+    if not low.isascii():
+        for c, plain in _FOLDS:
+            low = low.replace(c, plain)
+    if next(_AUTOMATON.iter(low), None) is not None or _CODE_NUMBER.search(low):
+        return True
     if any(c in text for c in _SLOT_MARKS) and _SLOT.search(text):
         return True
-    return bool(_REPEATED.search(text))
+    if "js" in low and _JS.search(low) or ("test" in low or "bla" in low) and _TWICE.search(low):
+        return True
+    # a sentence is Latin filler from six such words on
+    return sum(map(_LATIN.__contains__, low.replace(",", " ").replace(".", " ").split())) >= 6 or bool(_REPEATED.search(text))
+
+
+def is_suspect(text: str) -> bool:
+    """Whether a text may hold evidence; never False where ``evidence`` finds any."""
+    if _has_sign(text):
+        return True
+    # what is masked may leave a sign of the words around it
+    return any(c in text for c in _MASKS) and any(_has_sign(said) for _, said in _sentences(text))
 
 
 _CODE = regex.compile(r"`[^`\n]{1,200}`|\$[^$\n]{0,120}[\\_^=][^$\n]{0,120}\$(?!\w)|\\[a-zA-Z]+(?:\{[^{}\n]*\}|\[[^\]\n]*\])*(?:[_^](?:\{[^{}\n]*\}|\w))*")
@@ -117,17 +136,22 @@ _SENTENCE = regex.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+")
 _DOLLAR_SLOT = regex.compile(r"\$[\p{L}]\w{2,40}\$(?!\w)")
 
 
+def _sentences(text: str) -> Iterator[tuple[str, str]]:
+    """The sentences of a text with code masked, and each without its quotations."""
+    kept = _DOLLAR_SLOT.sub(lambda m: f"{{{{{m.group()[1:-1]}}}}}", text)
+    for s in _SENTENCE.split(_CODE.sub(" ", kept)):
+        if s := s.strip():
+            yield s, _QUOTE.sub(" ", s)
+
+
 def evidence(text: str | None) -> list[tuple[str, str]]:
     """(kind, sentence) of each sentence that is residue."""
     if not text or not text.strip():
         return []
     out = []
-    kept = _DOLLAR_SLOT.sub(lambda m: f"{{{{{m.group()[1:-1]}}}}}", text)
-    for s in _SENTENCE.split(_CODE.sub(" ", kept)):
-        s = s.strip()
-        if not s or _ABOUT.search(s):
+    for s, said in _sentences(text):
+        if _ABOUT.search(s):
             continue
-        said = _QUOTE.sub(" ", s)
         if PLACEHOLDER.search(said):
             out.append(("placeholder", s))
         elif SCRIPT.search(said):

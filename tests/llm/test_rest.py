@@ -175,3 +175,18 @@ def test_residue_that_repeats(spark):
     df = spark.createDataFrame(rows, "id long, host string, text string")
     found = {r.id for r in residue.residue(df, "id", "host", "text").select("id").distinct().collect()}
     assert found == {i for i, _, t in rows if i >= 1000}
+
+
+#: One text or more for every alternative of the evidence patterns.
+EVIDENCE = """{{title}}|{% if x %}|<% result %>|<?php x?>|${journal}|#{name}|@{name}|{0}|{unit}|{ÜBER}|<< name >>|[[ name ]]|%RANGE%|%ÄÖÜ%|%(name)s|%(ärzte)s|@VALUE@|@ÄÖÜ@|@__AB@|~RATE~|~ÄÖÜ~|##NAME##|__kernel__|__état__|$effect_size$|$état_x$|[insert x]|[TBD]|[12 goes here]|[12 go here]|[12 text here]|[12 to be inserted]|[NAME]|[AB CD]|<insert x>|<title>|<ÄÖÜ>
+JavaScript is required.|JS is required to view this page.|JS must be enabled to go on.|Cookies are blocked.|Scripting is turned off.|Please enable scripts.|This page requires Java script.|Bitte erlauben Sie Skripte.|Skripte bitte aktivieren.|Включите JavaScript|请启用脚本|Your browser does not support it: turned off|noscript
+404 Not Found|400 Bad Request|408 Request Timeout|418 - error|451: x|402 page|403 forbidden|410 gone|505 error|HTTP 411 error|error 599: x|erreur 404|Fehler 404|HTTP status 200|It could not be retrieved.|The page was not found.|The file cannot be opened.|The site has moved or so.|The paper was removed from here.|The paper has been removed.|The page does not exist.|The item is temporarily withdrawn.|Seite wurde nicht gefunden|nicht mehr verfügbar|página no encontrada|page introuvable|page non trouvée|pagina non trovata|страница не найдена|页面不存在|vous n'êtes pas autorisé|vuelva a intentarlo
+Access denied|You do not have access to this document.|does not have permission|not authorized to view|too many requests|service unavailable|bad gateway|gateway timeout|internal server error|connection to x timed out|connection was reset|connection refused|something went wrong|failed to load|unable to load the x|Oops|oops!|Loading...|please try again later|reload the page|your session has expired|your session timed out|log in again|prove that you are human|verify you are human|verify that you are human|checking your browser|complete the captcha: captcha below
+Traceback (most recent call last)|KeyError: x|java.lang.Exception: x|at a.b.C.run(C.java:112)|fatal error: x|stack trace:|NullPointerException|segmentation fault
+lorem ipsum|dummy text.|sample copy,|example content here|filler text.|abstract goes here|placeholder copy for|Blindtext|Fülltext|Platzhaltertext|hier steht bald|texte de remplissage|texto de relleno|testo segnaposto|текст-заполнитель|占位|Keywords to be added|Figure 1 coming soon|Details to follow|replace this with|to be filled in|to be written later|coming soon!|abstract: none|null none nan|nan null none|none null null|undefined nan null|test, test, test|test,test,test|test  test  test|test 12 test please ignore|please ignore this entry|asdf qwer zxcv|jkl jkl jkl|xx xxx xx xxxx|bla bla bla|bla,bla,bla|Foo foo FOO foo foo|foo bar baz|abc abc abc
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.|Duis aute irure in reprehenderit voluptate esse cillum.|The page was not«x»found.|Pleaſe enable ſcripts."""
+
+
+@pytest.mark.parametrize("text", [t for line in EVIDENCE.split("\n") for t in line.split("|")])
+def test_evidence_passes_the_sift(text):
+    assert residue.evidence(text) and residue.is_suspect(text)

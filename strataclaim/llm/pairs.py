@@ -155,7 +155,7 @@ REFUSALS = tuple(
         rf"{_ME}(?:(?!\bthat ran\b|\bany trial\b).){{0,60}}?\b{_DENY}.{{0,60}}?{_SPEAK}",
         rf"\b{_DENY}\b.{{0,40}}?{_SPEAK}.{{0,40}}?{_ME}",
         rf"{_SPEAK}.{{0,80}}?(?:isn['’]t|is not|not) (?:possible|appropriate|allowed|permitted|something).{{0,20}}?{_ME}",
-        rf"(?:beyond|outside(?: of)?|out of) (?:the scope of (?:this|my|what)|what I|my (?:remit|scope|abilities|expertise))",
+        rf"(?:beyond|outside(?: of)?|out of) (?:the scope of (?:this|my|what)|what I\b|my (?:remit|scope|abilities|expertise))",
         r"\bnot (?:something|anything|a (?:question|topic|matter)) (?:that )?(?:I|we|this assistant)\b.{0,20}?(?:permitted|allowed|able|free|can|may|going)",
         r"not (?:be )?(?:responsible|appropriate|right|proper) for me to",
         r"no comment (?:can|could|will|may) be",
@@ -179,28 +179,49 @@ REFUSALS = tuple(
 )
 #: A word or stem of each of the patterns above.
 _GATE = regex.compile(
-    r"(?i)\b(?:I|me|my|our|us|we (?:assistants|models)|assistant|system|service|model|chatbot|bot|tool|ai|has blocked|comment|can do|pass on|something else|elsewhere|silent|unanswered|open for|scope of|ich|ablehn\w*|beantwort\w*|mir|je|m['’]interdi\w*|préfère|permet\w*|puedo|debo|quiero|podr\w*|estoy|tengo|soy|negarme|permiten?|prefiero|niego|posso|potrei|sono|desidero|preferisco|rifiut\w*|devo|mi)\b|polic|guideline|principle|rules|instructions|richtlinien|regeln"
+    r"(?i)\b(?:I|me|my|we|our|us|assistant|system|service|model|chatbot|bot|tool|ai|can do|pass on|ich|mir|je|m['’]interdi\w*|puedo|debo|quiero|podr\w*|estoy|tengo|soy|negarme|posso|potrei|sono|desidero|devo|mi)\b|scope of|no comment|something else|elsewhere|silent|unanswered|open for|has blocked|ablehn|beantwort|préfère|permet|permite|prefiero|niego|preferisco|rifiut|polic|guideline|principle|rules|instructions|richtlinien|regeln"
 )
 _NUMBER = regex.compile(r"\d")
+#: Signs of sentences that greet, thank, ask or send elsewhere (a fixed list).
+_COURTESY = regex.compile(
+    r"(?i)\b(?:thanks?|sorry|apologi[sz]e|apologies|hello|hi|dear|please|feel free|(?:happy|glad) to|questions?|another topic|let me know|consult|contact|you|your|leider|danke|bitte|frage|sie|merci|désolée?|vous|votre|veuillez|gracias|pregunta|lo siento|usted|grazie|domanda|mi dispiace)\b"
+)
+_ALL_FUNCTION_WORDS = frozenset(_WORD_LANGS)
+
+
+def _topics(query: str | None) -> frozenset[str]:
+    """The stems of a query's words of content."""
+    return frozenset(w[:6] for w in words(query) if len(w) > 3 and w not in _ALL_FUNCTION_WORDS)
 
 
-def is_refusal(response: str, most_sentences: int = 5, most_words: int = 90) -> bool:
+def is_refusal(response: str, query: str | None = None, most_answering: int = 2) -> bool:
     """Whether a response declines to answer and says nothing of substance besides.
 
-    Quoted speech doesn't count. A response with a refusing sentence is one if it is short and the
-    other sentences (a greeting, a general opening, an offer, advice) hold no figures.
+    Quoted speech doesn't count. A response with a refusing sentence is one if the other sentences
+    hold no figures and at most ``most_answering`` of them (an opening, advice) may be about the
+    query, however long it is; greetings, thanks and offers aren't, nor is what has no word of the
+    query. With a query without words of content every sentence may be about it.
     """
     said = unquoted(response)
-    # most responses are too long or have none of the words that every refusal has one of
-    if said.count(" ") > 2 * most_words or not _GATE.search(said):
+    # most responses have none of the words that every refusal has one of
+    if not _GATE.search(said):
         return False
     lines = [_STEP_HEAD.sub("", line) for line in said.split("\n")]
-    parts = [s for line in lines for s in _SENTENCE.split(line) if s and _LETTER.search(s)]
-    if not parts or len(parts) > most_sentences or sum(len(words(s)) for s in parts) > most_words:
+    others, refusing = [], False
+    for s in (s for line in lines for s in _SENTENCE.split(line) if s and _LETTER.search(s)):
+        if _GATE.search(s) and any(p.search(s) for p in REFUSALS):
+            refusing = True
+        elif _NUMBER.search(s):
+            return False
+        else:
+            others.append(s)
+    if not refusing:
         return False
-    refusing = [any(p.search(s) for p in REFUSALS) for s in parts]
-    others = [s for s, r in zip(parts, refusing) if not r]
-    return any(refusing) and len(others) <= 2 and not any(_NUMBER.search(s) for s in others)
+    if len(others) <= most_answering:
+        return True
+    topics = _topics(query)
+    answering = [s for s in others if not _COURTESY.search(s) and (not topics or any(w[:6] in topics for w in words(s)))]
+    return len(answering) <= most_answering
 
 
 def is_foreign(query: str | None, response: str) -> bool:
@@ -345,7 +366,7 @@ def _judge(steps: int):
                     defect = "empty"
                 elif is_copied(q, r):
                     defect = "copied_question"
-                elif is_refusal(r):
+                elif is_refusal(r, q):
                     defect = "refusal"
                 elif is_foreign(q, r):
                     defect = "other_language"

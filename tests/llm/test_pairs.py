@@ -66,3 +66,28 @@ def test_operator(spark):
     df = spark.createDataFrame(rows + odd, "id long, query string, response string, defect string")
     got = sorted((r.id, r.defect) for r in pairs.defective_pairs(df, "id", "query", "response").collect())
     assert got == [(100, "empty"), (100, "empty"), (101, "truncated"), (102, "copied_question"), (103, "empty"), (104, "truncated"), (105, "truncated")]
+
+
+#: A refusing sentence for every pattern, in their order.
+REFUSING = ["I cannot answer that.", "Unable to answer that, says this assistant.", "Answering it is not possible for me.", "Sleep is beyond the scope of this.", "That is not something we can answer.", "It would not be right for me to judge.", "On sleep no comment can be made.", "Sorry, no can do.", "Shall we talk about something else?", "Kindly look elsewhere for advice.", "Against our policies.", "The rules forbid me this.", "Best to stay silent on sleep.", "A filter has blocked it.", "As an AI, I have no view.", "Leider muss ich die Bewertung ablehnen.", "Je ne peux pas répondre.", "No puedo responder a eso.", "Non posso rispondere."]
+
+
+def test_gate_passes_every_pattern():
+    assert len(REFUSING) == len(pairs.REFUSALS)
+    for p, s in zip(pairs.REFUSALS, REFUSING):
+        assert p.search(s) and pairs._GATE.search(s) and pairs.is_refusal(s, Q), s
+
+
+@pytest.mark.parametrize("text", [
+    "That is not something we can answer.", "This is not a topic we are able to discuss.", "It is not a question we may go into.",
+    "I'm sorry, but I can't help with that." + " " * 500,
+    "Hello, and thank you for your question. Sleep is much discussed. Memory under stress is a wide field. I'm not able to answer this. Feel free to ask me about another topic. Please consult a doctor.",
+    "Thank you for asking. " + "Many careful people all over the world have wondered about just this and will go on wondering about it for a long while to come. " * 5 + "I can't answer this question.",
+])
+def test_refusal_of_any_length(text):
+    assert pairs.is_refusal(text, Q)
+
+
+@pytest.mark.parametrize("text", ["I can't answer this fully. Sleep improves memory. Stress lowers it. Both effects add up where memory is poor.", "I cannot give a verdict. Sleep was raised by a third in 12 groups.", "The causes lie beyond what is known. Sleep improves memory."])
+def test_answer_beside_a_refusing_sentence(text):
+    assert not pairs.is_refusal(text, Q)

@@ -156,7 +156,7 @@ def field_score(spark: SparkSession, d: str) -> DataFrame:
 def simulate_rollouts(spark: SparkSession, d: str) -> DataFrame:
     """Outcome of noisy rollouts by node: mean belief, share over .72, rank by change."""
     b, t = _state(spark, d)
-    ends = graph.rollouts(b, t, sims=50).groupBy("node").agg(F.avg("belief").alias("final"), F.avg((F.col("belief") > 0.72).cast("double")).alias("p_high"))
+    ends = graph.rollouts(b, t, sims=500).groupBy("node").agg(F.avg("belief").alias("final"), F.avg((F.col("belief") > 0.72).cast("double")).alias("p_high"))
     return ends.join(b, "node").select("node", F.round("final", 6).alias("final"), F.round("p_high", 6).alias("p_high"), F.round(F.col("final") - F.col("belief"), 6).alias("change"))
 
 
@@ -165,7 +165,7 @@ def compare_rollouts(spark: SparkSession, d: str) -> DataFrame:
     """What raising the belief in two nodes by .2 changes elsewhere, over the same noise."""
     b, t = _state(spark, d)
     raised = b.select("node", F.when(F.col("node").isin(*_FOCUS), F.least(F.lit(1.0), F.col("belief") + 0.2)).otherwise(F.col("belief")).alias("belief"))
-    mean = lambda x, name: graph.rollouts(x, t, sims=20).groupBy("node").agg(F.avg("belief").alias(name))
+    mean = lambda x, name: graph.rollouts(x, t, sims=500).groupBy("node").agg(F.avg("belief").alias(name))
     return mean(b, "base").join(mean(raised, "raised"), "node").select("node", F.round("base", 6).alias("base"), F.round("raised", 6).alias("raised"), F.when(F.col("raised") - F.col("base") > 0.01, "positive").when(F.col("raised") - F.col("base") < -0.01, "negative").otherwise("neutral").alias("impact"))
 
 

@@ -112,3 +112,17 @@ def test_cuts(spark):
     assert cut(df).count() == 10 and write_cut(df).count() == 10
     drop_cuts()
     assert broadcast_checked(df, 5)[1] is False and broadcast_checked(df, 10)[1] is True
+
+
+@pytest.mark.parametrize("name", ["simulate_rollouts", "compare_rollouts"])
+def test_rollout_queries_run_all_simulations(spark, small, monkeypatch, name):
+    from strataclaim.plans import catalog
+
+    real, ran = graph.rollouts, []
+
+    def spy(b, t, sims=500, steps=8, **more):
+        ran.append((sims, steps))
+        return real(b, t, 2, 1, **more)
+
+    monkeypatch.setattr(graph, "rollouts", spy)
+    assert catalog.queries()[name](spark, small).count() and set(ran) == {(500, 8)}

@@ -244,7 +244,7 @@ def _pair_runs(block: int):
             if keep.any():
                 zero = np.zeros(int(keep.sum()), np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(zero), pa.array(a[keep]), pa.array(c[keep]), pa.array(zero)], names=["kind", "a", "b", "at"])
-            for k in {0, len(sizes) - 1} | set(np.flatnonzero(sizes > 2).tolist()):
+            for k in sorted({0, len(sizes) - 1} | set(np.flatnonzero(sizes > 2).tolist())):
                 run_keys = keys[edges[k] : edges[k + 1]]
                 if bands[edges[k]] == band:
                     held.append(run_keys)

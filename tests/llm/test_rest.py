@@ -54,6 +54,20 @@ def test_family_of_a_third_of_all_rows(spark):
     assert got == {(a, b) for a in range(450) for b in range(a + 1, 450) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])} and len(got) >= 150 * 149 // 2
 
 
+def test_runs_across_batches():
+    """Runs of one band that go on in the next batch are paired as wholes."""
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    rows = [(band, 100 * band + k) for band in range(8000) for k in range(rnd.choice([1, 1, 2, 3, 4]))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[low : low + 5000])], names=["band", "key"]) for low in range(0, len(rows), 5000)]
+    got = {(a, b) for out in nearduplicates._pair_runs(1000)(iter(batches)) for a, b in zip(out.column(1).to_pylist(), out.column(2).to_pylist())}
+    keys = {}
+    for band, key in rows:
+        keys.setdefault(band, []).append(key)
+    assert got == {(a, b) for ks in keys.values() for n, a in enumerate(ks) for b in ks[n + 1 :]}
+
+
 def test_sampling_estimates_similarity():
     rnd = random.Random(2)
     texts = corpus(rnd)[:31] + corpus(rnd)[60:61]

@@ -1,11 +1,9 @@
-"""Problem 6: lines repeated across one source's documents, found as templates and removed.
+"""Problem 6: lines repeated across one source's documents, counted exactly and removed.
 
-A line is parsed into a path of a token tree of fixed depth: source, number of letters, first and
-last letters, and at the leaf the template itself. Tokens of letters are literal, all between them
-(digits, blanks, marks) is a wildcard slot, so lines that differ only there share one leaf. Each
-partition builds the tree of its lines (the partial aggregation), trees are merged by path (the final
-one), and a leaf that covers many documents of its source is a template to remove. A document counts
-once for a line it holds twice, which is settled inside its row, before any shuffle.
+Lines are grouped by source and the hash of their letters, and a group that covers many documents of its
+source is to be removed. No token trees with wildcard slots are built: lines that differ only beyond their
+letters are the same by definition, so the grouping is exact where trees would approximate. A document
+counts once for a line it holds twice, which is settled inside its row, before any shuffle.
 
 Lines are the parts of a text between line feeds, numbered from 1. Lines without letters never count.
 Rows with a null source have no repeated lines; a null or empty text counts as a document without
@@ -24,20 +22,17 @@ EDGE = 4
 
 
 def letters(line: Column) -> Column:
-    """The literal tokens of a line, joined: its letters, lower-cased."""
+    """The letters of a line, lower-cased."""
     return F.lower(F.regexp_replace(line, r"[^\p{L}]+", ""))
 
 
 def _leaf(x: Column) -> Column:
-    """Path below the source: number of letters, first and last letters, and the template's hash."""
+    """Key of a line's letters: their hash, with their number, first and last ones, which follow from them."""
     return F.struct(F.length(x).alias("size"), F.left(x, F.lit(EDGE)).alias("head"), F.right(x, F.lit(EDGE)).alias("tail"), F.unhex(F.md5(x)).alias("template"))
 
 
 def repeated_templates(df: DataFrame, source_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Templates to remove: ``(source, leaf, slots, n_docs, n_source)``.
-
-    ``slots`` shows the template with ``<*>`` for wildcard slots that hold digits.
-    """
+    """Lines to remove: ``(source, leaf, n_docs, n_source)``."""
     src = df.select(F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("source is not null")
     sizes = src.groupBy("source").agg(F.count(F.lit(1)).alias("n_source"))
     line = F.split("text", "\n")

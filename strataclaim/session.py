@@ -7,11 +7,14 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a side may be broadcast once they were counted.
 BROADCAST_ROWS = 200_000
+#: Bytes of these rows up to which it may be.
+BROADCAST_BYTES = 64 * 2**20
 
 
 def build_session(cores: str = "*", app: str = "strataclaim", **conf: str) -> SparkSession:
@@ -96,11 +99,26 @@ def drop_cuts() -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about: text and binary by their length, nested values by their JSON, all else 8."""
+    total = F.lit(8)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + 8 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return total
 
-    The count reads at most ``max_rows + 1`` rows to a decision; call it on cheap or checkpointed
+
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else as it is.
+
+    The check reads at most ``max_rows + 1`` rows to a decision; call it on cheap or checkpointed
     inputs.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
+    rows, size = df.select(_width(df).alias("w")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("w")).first()
+    small = rows <= max_rows and (size or 0) <= max_bytes
     return (F.broadcast(df) if small else df), small

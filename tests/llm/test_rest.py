@@ -204,3 +204,81 @@ Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliqu
 @pytest.mark.parametrize("text", [t for line in EVIDENCE.split("\n") for t in line.split("|")])
 def test_evidence_passes_the_sift(text):
     assert residue.evidence(text) and residue.is_suspect(text)
+
+
+def test_words_of_bytes_are_words():
+    import pyarrow as pa
+
+    from strataclaim.llm.textmap import joined_text, run_hashes, word_hashes
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("aB9 ,.-–é\n\tЖ数") for _ in range(rnd.randrange(60))) for _ in range(200)] + [None, "", " "]
+    titles = [rnd.choice([None, "Ab cd", "é"]) for _ in texts]
+    flat, sizes = word_hashes(joined_text([pa.array(titles), pa.array(texts)]))
+    docs = [words(" ".join(x for x in row if x)) for row in zip(titles, texts)]
+    assert sizes.tolist() == [len(d) for d in docs]
+    known = {}
+    for w, h in zip([w for d in docs for w in d], flat.tolist()):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+    h, counts = run_hashes(flat, sizes, 3)
+    assert counts.tolist() == [max(0, len(d) - 2) for d in docs] and len(h) == counts.sum()
+    spelt = [tuple(d[k : k + 3]) for d in docs for k in range(len(d) - 2)]
+    assert len({(s, x) for s, x in zip(spelt, h.tolist())}) == len(set(spelt)) == len(set(h.tolist()))
+
+
+def test_repeated_shingles_weigh_their_frequency(spark):
+    """Weighted similarity counts a shingle as often as both records have it; the set's counts it once."""
+    a, b = "one two three four " * 6 + "a b c d e f", "one two three four " * 3 + "a b c d e f"
+    df = spark.createDataFrame([(1, a), (2, b), (3, "other words " * 9)], "id long, text string")
+    pairs, _ = nearduplicates.near_duplicates(df, "id", ("text",), 3, 0.1, "jaccard")
+    (r,) = pairs.where("rep_a = 1 and rep_b = 2").collect()
+    from collections import Counter
+
+    grams = [Counter(zip(w, w[1:], w[2:])) for w in (words(a), words(b))]
+    assert r.jaccard == pytest.approx(len(grams[0] & grams[1]) / len(grams[0] | grams[1]))
+    # with three records every shingle is common, so all weigh the same
+    assert r.weighted_jaccard == pytest.approx(sum((grams[0] & grams[1]).values()) / sum((grams[0] | grams[1]).values()))
+
+
+def test_copies_are_sent_once_and_long_runs_leave_in_blocks(spark):
+    import pyarrow as pa
+
+    rows = [(1, k) for k in range(2500)] + [(2, 7), (2, 9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[low : low + 300])], names=["band", "key"]) for low in range(0, len(rows), 300)]
+    out = [b for b in nearduplicates._pair_runs(1000)(iter(batches))]
+    assert max(b.num_rows for b in out) <= 1301
+    blocks = [(b.column(2)[k].as_py(), b.column(3)[k].as_py()) for b in out for k in range(b.num_rows) if b.column(0)[k].as_py() == 1]
+    assert sorted(k for k, _ in blocks) == list(range(2500)) and {at for _, at in blocks} == {0, 1, 2}
+    copies = spark.createDataFrame([(k, "the very same words again " * 9) for k in range(3000)] + [(9000, "the very same words again " * 9 + "more")], "id long, text string")
+    pairs, members = nearduplicates.near_duplicates(copies, "id", ("text",), 3, 0.5, "jaccard")
+    assert [tuple(r)[:2] for r in pairs.collect()] == [(0, 9000)] and members.where("rep = 0").count() == 3000
+
+
+def test_token_trees():
+    tree = lines.TokenTree(2)
+    for line in ("Seen 3 times, shared 5", "Seen 44 times, shared 5 !", "seen - times shared", "Other line 7"):
+        tree.add("s", lines.letters(line), line)
+    rows = {path: (slots, n) for _, path, _, _, slots, n in tree.rows()}
+    assert rows == {"5 seen <*>": (2, 2), "4 seen <*>": (1, 1), "3 other line": (1, 1)} and tree.size == 3
+    assert lines.tokens("Éa 12 -- x9,b") == ["éa".encode(), lines.SLOT, b"xb"] and lines.letters("Éa 12 x9") == "éax".encode()
+
+
+@pytest.mark.parametrize("most", [1, 10**6])
+def test_trees_are_merged(spark, most):
+    """Templates of one line are added over partitions, sent-off trees and spellings; a document counts once."""
+    texts = ["Share this", "share  THIS!", "Sharethis\nShare this", "Share 5 this"] * 5
+    df = spark.createDataFrame([("s", f"{t}\nown {'x' * k}") for k, t in enumerate(texts)] + [(None, "Share this")], "src string, text string").repartition(7)
+    (r,) = lines.repeated_templates(df, "src", "text", max_templates=most).collect()
+    assert (r.n_docs, r.n_source, r.templates, r.slots) == (20, 20, 3, 1)
+
+
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_lines_beyond_what_tasks_hold(spark, held):
+    rows = [(k, "s", f"own {'x' * k}\nFollow us\n\nFollow US ") for k in range(30)] + [(99, None, "Follow us")]
+    df = spark.createDataFrame(rows, "id long, src string, text string")
+    assert sorted(map(tuple, lines.repeated_lines(df, "id", "src", "text", max_held=held).collect())) == [(k, n) for k in range(30) for n in (2, 4)]
+    got = {r.id: (r.text, r.n_removed) for r in lines.remove_lines(df, "id", "src", "text", max_held=held).collect()}
+    assert got == {k: (f"own {'x' * k}\n", 2) for k in range(30)} | {99: ("Follow us", 0)}
+    pages = spark.createDataFrame([(k % 7, "h", f"Good {'y' * k}\nAll rights reserved") for k in range(60)] + [(3, "h", "404 Not Found\nAll rights reserved")], "id long, host string, text string")
+    assert [tuple(r)[:2] for r in residue.residue(pages, "id", "host", "text", max_held=held).collect()] == [(3, "error")]

@@ -3,8 +3,8 @@
 1. *Boilerplate.* Normalised lines are counted by host (all documents; a document counts once a line);
    a line in at least ``MIN_SHARE`` of a host's documents is its boilerplate and not this document's,
    unless it is residue itself; of script notices only those with other content beside are a host's.
-2. *Suspects.* One pass with an automaton of literal signs keeps the documents with any sign at all;
-   only these are joined and searched.
+2. *Suspects.* An automaton of literal signs tells the documents with any sign at all; only these are
+   searched. It never passes over one that has evidence.
 3. *Evidence.* The residual of a suspect (its text without boilerplate lines) is searched sentence by
    sentence. Code, formulas and quotations are masked first, and a sentence that speaks about markers,
    replies or filler instead of showing them is no evidence.
@@ -25,7 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataclaim.llm.lines import repeated_lines
+from strataclaim.llm.lines import MAX_HELD, digest, held_lines, letters, repeated_lines, repeated_templates
+from strataclaim.session import write_cut
 
 MIN_DOCS, MIN_SHARE = 20, 0.2
 
@@ -178,29 +179,39 @@ def without_boilerplate(text: str, drops: set[int]) -> str:
     return "\n".join(x for own, x, kinds in lines if own or kinds - {"script"} or kinds and alone)
 
 
-def residue(df: DataFrame, id_col: str, host_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(id_col, kind, sentence)`` of all evidence; a document without any has no row."""
-    src = df.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    id_type = src.schema["id"].dataType.simpleString()
+def residue(df: DataFrame, id_col: str, host_col: str, text_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_held: int = MAX_HELD) -> DataFrame:
+    """``(id_col, kind, sentence)`` of all evidence; a document without any has no row.
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [k for k, t in enumerate(b.column(1).to_pylist()) if is_suspect(t)]
-            if keep:
-                yield b.take(pa.array(keep))
+    Boilerplate lines are few (each covers ``min_share`` of a host); up to ``max_held`` of them are held by
+    every task, so documents are sifted, cleaned and searched where they are. Beyond that the suspects
+    are joined with the numbers of their lines.
+    """
+    src = df.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    id_type = src.schema["id"].dataType.simpleString()
+    hot = write_cut(repeated_templates(src, "host", "text", min_docs, min_share).select("source", "letters"))
+    held = held_lines(df.sparkSession, hot, max_held)
 
-    suspects = src.where("text is not null").select("id", "text").mapInArrow(sift, f"id {id_type}, text string")
-    drops = repeated_lines(src, "id", "host", "text", min_docs, min_share).groupBy("id").agg(F.collect_set("line_no").alias("drops"))
-    rows = suspects.join(drops, "id", "left")
+    def drops_of(host: str | None, text: str) -> set[int]:
+        wanted = held.value.get(host) if held is not None else None
+        return {n for n, line in enumerate(text.split("\n"), 1) if (spelt := letters(line)) and digest(spelt) in wanted} if wanted else set()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for i, t, ds in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if ds:
-                    t = without_boilerplate(t, set(ds))
-                found += [(i, kind, s) for kind, s in evidence(t)]
+            for k, text in enumerate(b.column(2)):
+                t = text.as_py()
+                if not is_suspect(t):
+                    continue
+                own = drops_of(b.column(1)[k].as_py(), t) if held is not None else set(b.column(3)[k].as_py() or ())
+                i = b.column(0)[k].as_py()
+                found += [(i, kind, s) for kind, s in evidence(without_boilerplate(t, own) if own else t)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (b.schema.field(0).type, pa.string(), pa.string()))], names=["id", "kind", "sentence"])
 
+    rows = src.where("text is not null")
+    if held is None:
+        # lines are numbered by row, as rows may share an id
+        keyed = rows.withColumn("row", F.xxhash64("id", "host", "text"))
+        drops = repeated_lines(keyed, "row", "host", "text", min_docs, min_share, max_held).groupBy("row").agg(F.collect_set("line_no").alias("drops"))
+        rows = keyed.join(drops, "row", "left").select("id", "host", "text", "drops")
     return rows.mapInArrow(search, f"id {id_type}, kind string, sentence string").withColumnRenamed("id", id_col)

@@ -69,27 +69,33 @@ def recompute_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 _EVID = f"""WITH m AS (SELECT id AS claim_id, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(query), '-', ' '), '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda w: length(w) > 2)) AS ct, chunks_json FROM training_examples WHERE chunks_json IS NOT NULL),
 j AS (SELECT claim_id, ct, unnest(from_json(chunks_json, '[{{"text":"VARCHAR","title":"VARCHAR","domain":"VARCHAR"}}]')) AS c FROM m WHERE json_valid(chunks_json)),
-o AS (SELECT claim_id, c.title AS title, c.domain AS source, lower(c.text) AS low, len(list_intersect(ct, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(c.text), '-', ' '), '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda w: length(w) > 2)))) / greatest(1, len(ct)) AS overlap FROM j WHERE trim(coalesce(c.text, '')) <> ''),
+w AS (SELECT claim_id, c, ct, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(c.text), '-', ' '), '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda w: length(w) > 2)) AS tt FROM j WHERE trim(coalesce(c.text, '')) <> ''),
+o AS (SELECT claim_id, c.title AS title, c.domain AS source, c.text AS text, lower(c.text) AS low, len(list_intersect(ct, tt)) / greatest(1, len(ct)) AS overlap, CASE WHEN len(ct) * len(tt) = 0 THEN 0.0 ELSE len(list_intersect(ct, tt)) / sqrt(len(ct) * len(tt)) END AS sim FROM w),
 v AS (SELECT *, {sq.has_any("low", lx.SUPPORT_MARKERS)} AS sup, {sq.has_any("low", lx.CONTRADICT_MARKERS)} AS con FROM o),
-e AS (SELECT claim_id, title, source, overlap, CASE WHEN overlap >= 0.20 AND sup AND NOT con THEN 'support' WHEN overlap >= 0.20 AND con AND NOT sup THEN 'contradict' WHEN overlap >= 0.30 AND sup AND con THEN 'neutral' WHEN overlap >= 0.25 THEN 'neutral' END AS polarity, least(1.0, greatest(0.0, 0.65 * 0.7 + 0.35 * overlap)) AS score FROM v),
+e AS (SELECT claim_id, title, source, text, overlap, sim, CASE WHEN overlap >= 0.20 AND sup AND NOT con THEN 'support' WHEN overlap >= 0.20 AND con AND NOT sup THEN 'contradict' WHEN overlap >= 0.30 AND sup AND con THEN 'neutral' WHEN overlap >= 0.25 THEN 'neutral' END AS polarity, least(1.0, greatest(0.0, 0.65 * sim + 0.35 * overlap)) AS score FROM v),
 k AS (SELECT * FROM e WHERE polarity IS NOT NULL)"""
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence items of training examples: their chunks, with polarity by markers and overlap."""
+    """Evidence items of training examples: their chunks, with polarity by markers and overlap.
+
+    Similarity is the dot product of the unit vectors of both texts' words, worked out from their sets.
+    """
     rows = table(spark, d, "training_examples").where("chunks_json is not null").select(F.col("id").alias("claim_id"), tx.tokens_over(F.col("query"), 2).alias("ct"), F.explode(F.from_json("chunks_json", "array<struct<text:string,title:string,domain:string>>")).alias("c"))
     rows = rows.where(F.trim(F.coalesce("c.text", F.lit(""))) != "").withColumn("low", F.lower("c.text"))
-    rows = rows.withColumn("overlap", F.size(F.array_intersect("ct", tx.tokens_over(F.col("c.text"), 2))) / F.greatest(F.lit(1), F.size("ct")))
+    rows = rows.withColumn("tt", tx.tokens_over(F.col("c.text"), 2)).withColumn("common", F.size(F.array_intersect("ct", "tt")))
+    both = F.size("ct") * F.size("tt")
+    rows = rows.withColumn("overlap", F.col("common") / F.greatest(F.lit(1), F.size("ct"))).withColumn("sim", F.when(both == 0, 0.0).otherwise(F.col("common") / F.sqrt(both)))
     sup, con, o = tx.has_any(F.col("low"), lx.SUPPORT_MARKERS), tx.has_any(F.col("low"), lx.CONTRADICT_MARKERS), F.col("overlap")
     polarity = F.when((o >= 0.20) & sup & ~con, "support").when((o >= 0.20) & con & ~sup, "contradict").when((o >= 0.30) & sup & con, "neutral").when(o >= 0.25, "neutral")
-    score = tx.clamp(F.lit(0.65 * 0.7) + 0.35 * o, 0.0, 1.0)
-    return rows.select("claim_id", F.col("c.title").alias("title"), F.col("c.domain").alias("source"), "overlap", polarity.alias("polarity"), score.alias("score")).where("polarity is not null")
+    score = tx.clamp(0.65 * F.col("sim") + 0.35 * o, 0.0, 1.0)
+    return rows.select("claim_id", F.col("c.title").alias("title"), F.col("c.domain").alias("source"), F.col("c.text").alias("text"), "overlap", "sim", polarity.alias("polarity"), score.alias("score")).where("polarity is not null")
 
 
-@query(_EVID + " SELECT claim_id, coalesce(title, '') AS title, polarity, round(overlap, 6) AS overlap, round(score, 6) AS score FROM k")
+@query(_EVID + " SELECT claim_id, coalesce(title, '') AS title, polarity, round(overlap, 6) AS overlap, round(sim, 6) AS similarity, round(score, 6) AS score FROM k")
 def evidence_items(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that bear on a query, with polarity, overlap and score."""
-    return _evidence(spark, d).select("claim_id", F.coalesce("title", F.lit("")).alias("title"), "polarity", F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score"))
+    return _evidence(spark, d).select("claim_id", F.coalesce("title", F.lit("")).alias("title"), "polarity", F.round("overlap", 6).alias("overlap"), F.round("sim", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
 _GROUND = _EVID + """, g AS (SELECT claim_id, count(*) AS n, count(*) FILTER (polarity = 'support') AS s, count(*) FILTER (polarity = 'contradict') AS c, coalesce(avg(score) FILTER (polarity = 'support'), 0.0) AS avg_s, coalesce(avg(score) FILTER (polarity = 'contradict'), 0.0) AS avg_c,

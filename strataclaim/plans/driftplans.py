@@ -53,11 +53,11 @@ def drifting_claims(spark: SparkSession, d: str) -> DataFrame:
 _AS_OF = "2024-01-30 00:00:00"
 
 
-@query(f"""WITH e AS ({EVIDENCE}), c AS (SELECT claim_id, weight, row_number() OVER (PARTITION BY claim_id ORDER BY recorded_at, id) - 1 AS k FROM e WHERE direction = 'contradicts' AND recorded_at > TIMESTAMP '{_AS_OF}' - INTERVAL 7 DAYS)
+@query(f"""WITH e AS ({EVIDENCE}), c AS (SELECT claim_id, weight, row_number() OVER (PARTITION BY claim_id ORDER BY recorded_at, id) - 1 AS k FROM e WHERE direction = 'contradicts' AND recorded_at > TIMESTAMP '{_AS_OF}' - INTERVAL 30 DAYS)
 SELECT claim_id, count(*) AS n, round(coalesce(CASE WHEN count(*) < 2 THEN 0.0 ELSE regr_slope(weight, k) END, 0.0), 4) AS velocity FROM c GROUP BY claim_id""")
 def contradiction_velocity(spark: SparkSession, d: str) -> DataFrame:
     """Slope of contradiction weights by their order, over a trailing window."""
-    e = drift.claim_evidence(table(spark, d, "events")).where((F.col("direction") == "contradicts") & (F.col("recorded_at") > F.expr(f"timestamp '{_AS_OF}' - interval 7 days")))
+    e = drift.claim_evidence(table(spark, d, "events")).where((F.col("direction") == "contradicts") & (F.col("recorded_at") > F.expr(f"timestamp '{_AS_OF}' - interval 30 days")))
     k = F.row_number().over(Window.partitionBy("claim_id").orderBy("recorded_at", "id")) - 1
     g = e.withColumn("k", k).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("weight", "k").alias("s"))
     return g.select("claim_id", "n", F.round(F.coalesce(F.when(F.col("n") < 2, 0.0).otherwise(F.col("s")), F.lit(0.0)), 4).alias("velocity"))

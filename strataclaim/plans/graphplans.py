@@ -9,7 +9,7 @@ from strataclaim.functions import lexicons as lx
 from strataclaim.functions import sqltext as sq
 from strataclaim.operators import graph
 from strataclaim.plans.catalog import query
-from strataclaim.session import table
+from strataclaim.session import cut, table
 
 _E = "e AS (SELECT lower(source_concept) AS a, lower(relation_type) AS r, lower(target_concept) AS b, max(confidence) AS c FROM causal_relations WHERE confidence IS NOT NULL GROUP BY ALL)"
 
@@ -121,23 +121,25 @@ def edge_transitions(spark: SparkSession, d: str) -> DataFrame:
     return _state(spark, d)[1]
 
 
-@query(_SIM + _steps_sql(4, False) + " SELECT node, round(belief, 5) AS belief FROM b4")
+@query(_SIM + _steps_sql(8, False) + " SELECT node, round(belief, 5) AS belief FROM b8")
 def propagate(spark: SparkSession, d: str) -> DataFrame:
-    """Beliefs after four steps without noise."""
+    """Beliefs after eight steps without noise."""
     b, t = _state(spark, d)
     t = graph.adjacency(t)
-    for _ in range(4):
+    for n in range(8):
         b = graph.step(b, t)
+        b = cut(b) if n == 3 else b
     return b.select("node", F.round("belief", 5).alias("belief"))
 
 
-@query(_SIM + _steps_sql(4, True) + " SELECT node, round(belief, 5) AS belief FROM b4")
+@query(_SIM + _steps_sql(8, True) + " SELECT node, round(belief, 5) AS belief FROM b8")
 def propagate_focused(spark: SparkSession, d: str) -> DataFrame:
-    """Beliefs after four steps in which edges of two nodes are stronger."""
+    """Beliefs after eight steps in which edges of two nodes are stronger."""
     b, t = _state(spark, d)
     t = graph.adjacency(t)
-    for _ in range(4):
+    for n in range(8):
         b = graph.step(b, t, focus=_FOCUS)
+        b = cut(b) if n == 3 else b
     return b.select("node", F.round("belief", 5).alias("belief"))
 
 

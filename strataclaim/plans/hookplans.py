@@ -52,10 +52,10 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT id, squeeze(belief_text) AS squeezed, stable_id(belief_text) AS sid, round(belief_confidence(double(coalesce(supporting_count, 0)), double(coalesce(contradicting_count, 0))), 6) AS confidence FROM beliefs_now")
 
 
-@query("SELECT DISTINCT trim(source_concept, ' ') AS source, lower(relation_type) AS relation, trim(target_concept, ' ') AS target FROM causal_relations WHERE regexp_matches(source_concept, '^ *[a-z][a-z ]*\\z') AND regexp_matches(target_concept, '^ *[a-z][a-z ]*\\z')")
+@query("SELECT DISTINCT trim(lower(source_concept), ' ') AS source, lower(relation_type) AS relation, trim(lower(target_concept), ' ') AS target FROM causal_relations WHERE trim(source_concept, ' ') <> '' AND trim(target_concept, ' ') <> ''")
 def graph_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Edges written as graph text in two layouts and read back."""
-    e = table(spark, d, "causal_relations").where(F.col("source_concept").rlike(r"^ *[a-z][a-z ]*\z") & F.col("target_concept").rlike(r"^ *[a-z][a-z ]*\z")).select(*(F.lower(c).alias(n) for c, n in (("source_concept", "source"), ("relation_type", "relation"), ("target_concept", "target"))))
+    e = table(spark, d, "causal_relations").where((F.trim("source_concept") != "") & (F.trim("target_concept") != "")).select(*(F.lower(c).alias(n) for c, n in (("source_concept", "source"), ("relation_type", "relation"), ("target_concept", "target"))))
     lists = e.groupBy("source").agg(F.to_json(F.collect_list(F.array("source", "relation", "target"))).alias("j")).select("j")
     maps = e.groupBy("source", "relation").agg(F.collect_set("target").alias("ts")).select(F.to_json(F.create_map("source", F.create_map("relation", "ts"))).alias("j"))
     return graph_edges(lists.unionByName(maps), "j")

@@ -11,7 +11,7 @@ from strataclaim.functions import text as tx
 from strataclaim.operators.likejoin import like_join
 from strataclaim.operators.retrieval import vector_topk
 from strataclaim.plans.catalog import query
-from strataclaim.session import table
+from strataclaim.session import broadcast_checked, cut, table
 
 _CROSS = """WITH o AS (SELECT DISTINCT lower(subject) AS s, domain FROM observations WHERE length(subject) > 5 AND domain IS NOT NULL AND domain NOT IN ('unknown', 'other', 'general', '')),
 r AS (SELECT DISTINCT lower(source_concept) AS a, lower(target_concept) AS b FROM causal_relations WHERE confidence >= 0.85 AND length(source_concept) > 5 AND length(target_concept) > 5 AND relation_type IN ('causes', 'enables', 'prevents', 'reduces', 'increases', 'accelerates'))"""
@@ -60,13 +60,18 @@ def two_hop_hypotheses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_HOP + """, g AS (SELECT DISTINCT a, c FROM h WHERE rn <= 5)
-SELECT g.a, g.c FROM g WHERE NOT EXISTS (SELECT 1 FROM causal_relations x WHERE lower(x.source_concept) = g.a AND lower(x.target_concept) = g.c) AND NOT EXISTS (SELECT 1 FROM observations o WHERE lower(o.subject) = g.a AND lower(o.object) = g.c)""")
+SELECT g.a, g.c FROM g WHERE NOT EXISTS (SELECT 1 FROM causal_relations x WHERE lower(x.source_concept) LIKE '%' || left(g.a, 20) || '%' AND lower(x.target_concept) LIKE '%' || left(g.c, 20) || '%') AND NOT EXISTS (SELECT 1 FROM observations o WHERE lower(o.subject) LIKE '%' || left(g.a, 20) || '%' AND lower(o.object) LIKE '%' || left(g.c, 20) || '%')""")
 def untested_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Two-hop pairs that neither a relation nor an observation states yet: two anti joins."""
-    g = _two_hops(spark, d).select("a", "c").distinct()
-    known = table(spark, d, "causal_relations").select(F.lower("source_concept").alias("a"), F.lower("target_concept").alias("c"))
-    seen = table(spark, d, "observations").select(F.lower("subject").alias("a"), F.lower("object").alias("c"))
-    return g.join(known, ["a", "c"], "left_anti").join(seen, ["a", "c"], "left_anti")
+    """Two-hop pairs that neither a relation nor an observation states yet, by the first 20 letters of both ends.
+
+    What is stated is reduced to its distinct pairs, its first end is met by a substring join and its second by LIKE.
+    """
+    g = cut(_two_hops(spark, d).select("a", "c").distinct())
+    known = table(spark, d, "causal_relations").select(F.lower("source_concept").alias("s"), F.lower("target_concept").alias("t"))
+    seen = table(spark, d, "observations").where("subject is not null and object is not null").select(F.lower("subject").alias("s"), F.lower("object").alias("t"))
+    firsts = g.select("a", F.left("a", F.lit(20)).alias("p")).distinct()
+    hits = like_join(firsts, "p", known.union(seen).distinct(), "s").select("a", "t").join(g, "a").where(F.expr("t like concat('%', left(c, 20), '%')")).select("a", "c").distinct()
+    return g.join(hits, ["a", "c"], "left_anti")
 
 
 _OPP = "CASE lower(predicate) " + " ".join(f"WHEN {sq.q(a)} THEN {sq.q(b)}" for a, b in lx.OPPOSITE_PREDICATES.items()) + " END"
@@ -244,7 +249,7 @@ def missing_links(spark: SparkSession, d: str) -> DataFrame:
     p = o.where(F.length("subject") > 5).groupBy(F.lower("subject").alias("s")).agg(F.count(F.lit(1)).alias("total")).where("total >= 8").select("s")
     t = o.where("domain is not null").groupBy(F.lower("subject").alias("s"), "domain").agg(F.count(F.lit(1)).alias("n")).join(p, "s")
     k = t.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("n"), "s"))).where("rn <= 2").select("s", "domain")
-    pairs = k.select(F.col("s").alias("concept_a"), F.col("domain").alias("domain_a")).join(F.broadcast(k.select(F.col("s").alias("concept_b"), F.col("domain").alias("domain_b"))), (F.col("domain_a") < F.col("domain_b")) & (F.col("concept_a") != F.col("concept_b")))
+    pairs = k.select(F.col("s").alias("concept_a"), F.col("domain").alias("domain_a")).join(broadcast_checked(k.select(F.col("s").alias("concept_b"), F.col("domain").alias("domain_b")), 20_000)[0], (F.col("domain_a") < F.col("domain_b")) & (F.col("concept_a") != F.col("concept_b")))
     known = table(spark, d, "causal_relations").select(F.lower("source_concept").alias("concept_a"), F.lower("target_concept").alias("concept_b"))
     return pairs.join(known, ["concept_a", "concept_b"], "left_anti").select("concept_a", "concept_b", "domain_a", "domain_b")
 
@@ -254,13 +259,13 @@ _NEG = ("no link", "does not", "reduces", "hinders", "blocks")
 _CON = ("plasticity", "arousal", "runoff", "attention", "fibrosis", "inflation")
 
 
-@query(f"""WITH c AS (SELECT chunk_id, paper_title, lower(text) AS t, source FROM chunks WHERE paper_title IS NOT NULL AND paper_title <> 'unknown' AND source = 'quillarchive'),
+@query(f"""WITH c AS (SELECT chunk_id, paper_title, lower(text) AS t, source FROM chunks WHERE paper_title IS NOT NULL AND paper_title <> 'unknown'),
 k AS (SELECT chunk_id, paper_title, {sq.has_any("t", _POS)} AND NOT {sq.has_any("t", _NEG)} AS pos, {sq.has_any("t", _NEG)} AND NOT {sq.has_any("t", _POS)} AS neg, unnest(list_filter([{", ".join(f"CASE WHEN contains(t, {sq.q(x)}) THEN {sq.q(x)} END" for x in _CON)}], lambda v: v IS NOT NULL)) AS concept FROM c),
 g AS (SELECT concept, paper_title, bool_or(pos) AS pos, bool_or(neg) AS neg FROM k GROUP BY 1, 2)
 SELECT concept, count(*) FILTER (pos) AS n_pos, count(*) FILTER (neg) AS n_neg, count(*) FILTER (pos) * count(*) FILTER (neg) - count(*) FILTER (pos AND neg) AS n_contradictions FROM g GROUP BY concept""")
 def contradiction_counts(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of differently titled papers with opposite signals on a concept, counted without pairing them."""
-    c = table(spark, d, "chunks").where("paper_title is not null and paper_title <> 'unknown' and source = 'quillarchive'").withColumn("t", F.lower("text"))
+    c = table(spark, d, "chunks").where("paper_title is not null and paper_title <> 'unknown'").withColumn("t", F.lower("text"))
     pos, neg = tx.has_any(F.col("t"), _POS), tx.has_any(F.col("t"), _NEG)
     concepts = F.filter(F.array(*(F.when(F.col("t").contains(x), x) for x in _CON)), lambda v: v.isNotNull())
     k = c.select("paper_title", (pos & ~neg).alias("pos"), (neg & ~pos).alias("neg"), F.explode(concepts).alias("concept"))

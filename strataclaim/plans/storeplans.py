@@ -170,11 +170,11 @@ def threshold_filter(spark: SparkSession, d: str, domain: str | None = "medicine
     return (b.where(F.col("domain") == domain) if domain else b).select("id")
 
 
-@query("""SELECT 'chunks' AS src, chunk_id AS id, left(coalesce(paper_title, ''), 40) AS title FROM chunks WHERE source = 'quillarchive' UNION ALL SELECT 'documents', doc_id, left(coalesce(title, ''), 40) FROM documents WHERE source = 'quillarchive' UNION ALL SELECT 'private_papers', id, left(coalesce(title, ''), 40) FROM private_papers""")
+@query("""SELECT 'chunks' AS src, chunk_id AS id, left(coalesce(paper_title, ''), 40) AS title FROM chunks UNION ALL SELECT 'documents', doc_id, left(coalesce(title, ''), 40) FROM documents UNION ALL SELECT 'private_papers', id, left(coalesce(title, ''), 40) FROM private_papers""")
 def union_sources(spark: SparkSession, d: str) -> DataFrame:
     """Papers of several sources, one after the other."""
-    one = lambda name, key, title, where: table(spark, d, name).where(where).select(F.lit(name).alias("src"), F.col(key).alias("id"), F.left(F.coalesce(title, F.lit("")), F.lit(40)).alias("title"))
-    return one("chunks", "chunk_id", "paper_title", "source = 'quillarchive'").unionByName(one("documents", "doc_id", "title", "source = 'quillarchive'")).unionByName(one("private_papers", "id", "title", "true"))
+    one = lambda name, key, title: table(spark, d, name).select(F.lit(name).alias("src"), F.col(key).alias("id"), F.left(F.coalesce(title, F.lit("")), F.lit(40)).alias("title"))
+    return one("chunks", "chunk_id", "paper_title").unionByName(one("documents", "doc_id", "title")).unionByName(one("private_papers", "id", "title"))
 
 
 @query("""SELECT subject FROM (SELECT lower(subject) AS subject FROM observations WHERE subject IS NOT NULL INTERSECT SELECT lower(source_concept) FROM causal_relations EXCEPT SELECT lower(concept_name) FROM beliefs)""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,20 +75,21 @@ _CLAIM_SQL = f"""(NOT {_BAD_SQL} AND (({sq.has_any('lower(s)', lx.CLAIM_CUES)} A
 @query(f"""WITH x AS (SELECT chunk_id, unnest({_SENTENCES.format("text")}) AS s FROM chunks)
 SELECT chunk_id, count(*) AS n_sentences, sum(CAST({_BAD_SQL} AS INT))::BIGINT AS n_bad, sum(CAST({_CLAIM_SQL} AS INT))::BIGINT AS n_claims FROM x GROUP BY chunk_id""")
 def claim_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences, junk and claim-like sentences of each chunk."""
-    s = F.col("s")
-    rows = table(spark, d, "chunks").select("chunk_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
-    return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(_bad(s).cast("int")).alias("n_bad"), F.sum(_claimlike(s).cast("int")).alias("n_claims"))
+    """Sentences, junk and claim-like sentences of each chunk, counted in the row."""
+    ss = F.col("ss")
+    rows = table(spark, d, "chunks").select("chunk_id", tx.sentences(F.col("text")).alias("ss")).where(F.size("ss") > 0)
+    n = lambda x: F.size(x).cast("long")
+    return rows.select("chunk_id", n(ss).alias("n_sentences"), n(F.filter(ss, _bad)).alias("n_bad"), n(F.filter(ss, _claimlike)).alias("n_claims"))
 
 
 @query(f"""WITH x AS (SELECT chunk_id, unnest(range(len(ss))) AS pos, unnest(ss) AS s FROM (SELECT chunk_id, {_SENTENCES.format("text")} AS ss FROM chunks)),
 c AS (SELECT chunk_id, s, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS rn FROM x WHERE {_CLAIM_SQL})
 SELECT chunk_id, rn AS claim_no, s AS claim_text, 'clm_' || left(sha1(s), 12) AS claim_id FROM c WHERE rn <= 5""")
 def extract_claims(spark: SparkSession, d: str) -> DataFrame:
-    """Up to five claim statements of each chunk, in order, with stable ids."""
-    rows = table(spark, d, "chunks").select("chunk_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "s")).where(_claimlike(F.col("s")))
-    rn = F.row_number().over(Window.partitionBy("chunk_id").orderBy("pos")).cast("long")
-    return rows.withColumn("claim_no", rn).where("claim_no <= 5").select("chunk_id", "claim_no", F.col("s").alias("claim_text"), F.concat(F.lit("clm_"), F.left(F.sha1("s"), F.lit(12))).alias("claim_id"))
+    """Up to five claim statements of each chunk, in order, with stable ids; chosen in the row, so nothing is shuffled."""
+    first = F.slice(F.filter(tx.sentences(F.col("text")), _claimlike), 1, 5)
+    rows = table(spark, d, "chunks").select("chunk_id", F.posexplode(first).alias("pos", "claim_text"))
+    return rows.select("chunk_id", (F.col("pos") + 1).cast("long").alias("claim_no"), "claim_text", F.concat(F.lit("clm_"), F.left(F.sha1("claim_text"), F.lit(12))).alias("claim_id"))
 
 
 @query(f"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, {sq.q(lx.EQUATION)}, ['lhs', 'rhs'])) AS e FROM (SELECT doc_id, text FROM documents))
@@ -97,12 +100,22 @@ def find_equations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(pairs).alias("e")).select("doc_id", F.trim("e.l").alias("lhs"), F.trim("e.r").alias("rhs"))
 
 
-@query("""WITH x AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '[A-Za-z][A-Za-z0-9_]{0,2}\\b'), lambda s: NOT list_contains(['the', 'and', 'for', 'of', 'in', 'to', 'a', 'is', 'on', 'at', 'by', 'if', 'we', 'was', 'no', 'p', 'n'], lower(s)))) AS ss FROM documents WHERE text IS NOT NULL)
+def _symbols_sql(t: str) -> str:
+    """Distinct identifiers of a text but common words; each but the first follows a mark or a blank."""
+    return f"list_distinct(list_filter(regexp_extract_all(regexp_replace({t}, '([^\\p{{L}}\\p{{N}}\\p{{M}}_])', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])([A-Za-z][A-Za-z0-9_]*)(?:$|[^\\p{{L}}\\p{{N}}\\p{{M}}_])', 1), lambda s: NOT list_contains([{', '.join(map(sq.q, lx.NO_SYMBOLS))}], lower(s))))"
+
+
+def _symbols(c):
+    stop = F.array(*map(F.lit, lx.NO_SYMBOLS))
+    found = F.regexp_extract_all(c, F.lit(r"(?<![\p{L}\p{N}\p{M}_])([A-Za-z][A-Za-z0-9_]*)(?![\p{L}\p{N}\p{M}_])"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda s: ~F.array_contains(stop, F.lower(s))))
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_symbols_sql("text")} AS ss FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(ss)::INT AS n_symbols, array_to_string(list_sort(ss), ' ') AS symbols FROM x""")
 def find_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct short identifiers of documents but common short words."""
-    stop = F.array(*map(F.lit, ("the", "and", "for", "of", "in", "to", "a", "is", "on", "at", "by", "if", "we", "was", "no", "p", "n")))
-    found = F.array_distinct(F.filter(F.regexp_extract_all(F.regexp_replace("text", r"[^\x00-\x7F]", " "), F.lit(r"[A-Za-z][A-Za-z0-9_]{0,2}\b"), F.lit(0)), lambda s: ~F.array_contains(stop, F.lower(s))))
+    """Distinct identifiers of documents but common words and functions, as a claim's symbols are found."""
+    found = _symbols(F.col("text"))
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(found).alias("n_symbols"), F.array_join(F.array_sort(found), " ").alias("symbols"))
 
 
@@ -260,13 +273,12 @@ def beliefs_from_observations(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT chunk_id, {sq.matches_any(sq.low("text"), lx.NEGATIONS)} AS is_negated,
  round({sq.clamp(f"{sq.yes('num', 0.45)} + {sq.yes('met', 0.45)} + {sq.yes('theo', 0.55)} - {sq.yes('def AND NOT theo', 0.25)} - {sq.yes('length(text) < 180', 0.10)}", 0.15, 1.0)}, 6) AS quality_a,
  round({sq.clamp(f"{sq.yes('num', 0.45)} + {sq.yes('met', 0.45)} - {sq.yes('def', 0.25)} - {sq.yes('length(text) < 220', 0.15)}", 0.0, 1.0)}, 6) AS quality_b
-FROM (SELECT chunk_id, text, regexp_matches(t, {sq.q("(?i)" + lx.EVIDENCE_NUMERIC)}) AS num, regexp_matches(t, {sq.q("(?i)" + lx.EVIDENCE_METHOD)}) AS met, regexp_matches(t, {sq.q("(?i)" + lx.EVIDENCE_DEFINITION)}) AS def, regexp_matches(t, {sq.q("(?i)" + lx.EVIDENCE_THEORY)}) AS theo FROM (SELECT chunk_id, text, regexp_replace(text, '[^\x00-\x7Fσö]', ' ', 'g') AS t FROM chunks))""")
+FROM (SELECT chunk_id, text, regexp_matches(t, {sq.q("(?i)" + lx.EVIDENCE_NUMERIC)}) AS num, regexp_matches(t, {sq.q("(?i)" + lx.EVIDENCE_METHOD)}) AS met, regexp_matches(t, {sq.q("(?i)" + lx.EVIDENCE_DEFINITION)}) AS def, regexp_matches(t, {sq.q("(?i)" + lx.EVIDENCE_THEORY)}) AS theo FROM (SELECT chunk_id, text, regexp_replace(text, '[^\\x00-\\x7F\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}\\p{{M}}σö]', 'q', 'g') AS t FROM chunks))""")
 def evidence_quality(spark: SparkSession, d: str) -> DataFrame:
     """Negation and the two evidence scores of chunks."""
     t = F.col("text")
-    # word boundaries of other scripts differ between regex engines, so those letters become blanks
-    plain = F.regexp_replace(t, r"[^\x00-\x7Fσö]", " ")
-    num, met, definition, theory = (plain.rlike("(?i)" + p) for p in (lx.EVIDENCE_NUMERIC, lx.EVIDENCE_METHOD, lx.EVIDENCE_DEFINITION, lx.EVIDENCE_THEORY))
+    # a word ends where no letter or digit of any script follows; SQL's engine knows ASCII only, so there other letters stand as q
+    num, met, definition, theory = (t.rlike("(?i)" + p) for p in (lx.EVIDENCE_NUMERIC, lx.EVIDENCE_METHOD, lx.EVIDENCE_DEFINITION, lx.EVIDENCE_THEORY))
     a = tx.yes(num, 0.45) + tx.yes(met, 0.45) + tx.yes(theory, 0.55) - tx.yes(definition & ~theory, 0.25) - tx.yes(F.length(t) < 180, 0.10)
     b = tx.yes(num, 0.45) + tx.yes(met, 0.45) - tx.yes(definition, 0.25) - tx.yes(F.length(t) < 220, 0.15)
     return table(spark, d, "chunks").select("chunk_id", tx.matches_any(F.lower(t), lx.NEGATIONS, lx.NEGATION_LITERALS).alias("is_negated"), F.round(tx.clamp(a, 0.15, 1.0), 6).alias("quality_a"), F.round(tx.clamp(b, 0.0, 1.0), 6).alias("quality_b"))
@@ -315,18 +327,31 @@ def clean_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", F.when(t.rlike("^[a-z]"), F.concat(F.upper(F.left(first, F.lit(1))), F.substring(first, 2, 10000), F.lit("..."))).otherwise(F.left(t, F.lit(100))).alias("clean_title"))
 
 
-_READ = "CASE " + " ".join(f"WHEN relation_type = {sq.q(r)} THEN {sq.q(v)}" for r, v in lx.READABLE.items()) + " ELSE 'influences' END"
+def _template_sql(a: str, r: str, b: str) -> str:
+    fill = lambda t: " || ".join({"{a}": a, "{b}": b, "{rel}": r}.get(x, sq.q(x)) for x in re.split(r"(\{\w+\})", t) if x)
+    return f"CASE {r} " + " ".join(f"WHEN {sq.q(k)} THEN {fill(t)}" for k, t in lx.RELATION_TEMPLATES.items()) + f" ELSE {fill(lx.OTHER_TEMPLATE)} END"
+
+
+def readable(a, r, b):
+    """A relation between two concepts in words."""
+
+    def fill(t: str):
+        return F.concat(*({"{a}": a, "{b}": b, "{rel}": r}.get(x, F.lit(x)) for x in re.split(r"(\{\w+\})", t) if x))
+
+    out = None
+    for k, t in lx.RELATION_TEMPLATES.items():
+        out = F.when(r == k, fill(t)) if out is None else out.when(r == k, fill(t))
+    return out.otherwise(fill(lx.OTHER_TEMPLATE))
 
 
-@query(f"""WITH h AS (SELECT id, source_concept || ' --' || relation_type || '--> ' || target_concept AS h, relation_type FROM causal_relations)
-SELECT id, regexp_replace(h, '--\\[?([^\\]>-]+)\\]?-->', '→') AS arrow_text, trim(regexp_extract(h, '(?s)^(.*?) --', 1)) AS s, trim(regexp_extract(h, '(?s)--> (.*)$', 1)) AS o, {_READ} AS readable FROM h""")
+@query(f"""WITH h AS (SELECT id, source_concept || ' --' || relation_type || '--> ' || target_concept AS h, {_template_sql("source_concept", "lower(relation_type)", "target_concept")} AS readable FROM causal_relations)
+SELECT id, regexp_replace(h, '--\\[?([^\\]>-]+)\\]?-->', '→') AS arrow_text, trim(regexp_extract(h, '(?s)^(.*?) --', 1)) AS s, trim(regexp_extract(h, '(?s)--> (.*)$', 1)) AS o, readable, CAST(length(readable) >= 10 AND NOT {sq.matches_any("lower(readable)", lx.BAD_HYPOTHESES)} AS BOOLEAN) AS is_valid FROM h""")
 def parse_hypotheses(spark: SparkSession, d: str) -> DataFrame:
-    """Hypotheses written as ``a --r--> b`` parsed back, with arrows and readable relations."""
+    """Hypotheses written as ``a --r--> b`` parsed back, with arrows, in readable words, and whether these are valid."""
     h = F.concat("source_concept", F.lit(" --"), "relation_type", F.lit("--> "), "target_concept")
-    read = None
-    for r, v in lx.READABLE.items():
-        read = F.when(F.col("relation_type") == r, v) if read is None else read.when(F.col("relation_type") == r, v)
-    return table(spark, d, "causal_relations").select("id", F.regexp_replace(h, r"--\[?([^\]>-]+)\]?-->", "→").alias("arrow_text"), F.trim(F.regexp_extract(h, r"(?s)^(.*?) --", 1)).alias("s"), F.trim(F.regexp_extract(h, r"(?s)--> (.*)$", 1)).alias("o"), read.otherwise("influences").alias("readable"))
+    text = readable(F.col("source_concept"), F.lower("relation_type"), F.col("target_concept"))
+    rows = table(spark, d, "causal_relations").select("id", F.regexp_replace(h, r"--\[?([^\]>-]+)\]?-->", "→").alias("arrow_text"), F.trim(F.regexp_extract(h, r"(?s)^(.*?) --", 1)).alias("s"), F.trim(F.regexp_extract(h, r"(?s)--> (.*)$", 1)).alias("o"), text.alias("readable"))
+    return rows.withColumn("is_valid", (F.length("readable") >= 10) & ~tx.matches_any(F.lower("readable"), lx.BAD_HYPOTHESES))
 
 
 @query("""SELECT chunk_id, coalesce(try_cast(json_extract_string(CASE WHEN json_valid(meta_json) THEN meta_json END, '$.year') AS INT), -1) AS year, json_extract_string(CASE WHEN json_valid(meta_json) THEN meta_json END, '$.lang') AS lang, CAST(coalesce(json_valid(meta_json), false) AS BOOLEAN) AS is_valid FROM chunks""")
@@ -336,12 +361,12 @@ def clean_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", F.coalesce(F.try_variant_get(v, "$.year", "int"), F.lit(-1)).alias("year"), F.try_variant_get(v, "$.lang", "string").alias("lang"), v.isNotNull().alias("is_valid"))
 
 
-@query("""WITH w AS (SELECT unnest(string_split(lower(squeezed), ' ')) AS w FROM (SELECT trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' ') AS squeezed FROM documents WHERE lang = 'en' AND text IS NOT NULL)),
+@query("""WITH w AS (SELECT unnest(string_split(lower(squeezed), ' ')) AS w FROM (SELECT trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), ' ') AS squeezed FROM documents WHERE text IS NOT NULL)),
 p AS (SELECT substr(w, i, 2) AS pair FROM (SELECT w, unnest(range(1, greatest(length(w), 1))) AS i FROM w))
 SELECT pair, count(*) AS n FROM p WHERE length(pair) = 2 GROUP BY pair""")
 def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts of adjacent character pairs inside words: what a pair-merging tokenizer starts from."""
-    docs = table(spark, d, "documents").where("lang = 'en' and text is not null")
+    docs = table(spark, d, "documents").where("text is not null")
     words = docs.select(F.explode(F.split(F.lower(tx.squeeze(F.col("text"))), " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).where(F.length("w") >= 2)
     pairs = words.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair"))
     return pairs.groupBy("pair").agg(F.sum("c").alias("n"))

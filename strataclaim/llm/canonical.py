@@ -10,9 +10,9 @@ words, the order of words, qualifying words around a name, plurals, and words cu
 joins words of listed names into one that isn't listed means none of them: it is nearer to that join
 than to any entry. What is left without an entry is reported with id 0.
 
-The dictionary is broadcast; a list over ``MAX_ENTRIES`` entries is worked off in blocks of that many,
-each broadcast in turn, and the best of all blocks is taken. Values are looked up where they are, with
-a bounded memory of those already seen, so no value, however frequent, is shuffled.
+Values are counted, distinct ones resolved once, and rows joined with what their value means; frequent
+values meet it by a broadcast. The dictionary is broadcast; a list over ``MAX_ENTRIES`` entries is worked
+off in blocks of that many, each broadcast in turn, and the best of all blocks is taken.
 
 A null value gives no row, a blank one the id 0, and so does one that is the name of no entry,
 whatever its length. Entries without names and broken lists of aliases are passed over. Repeated rows
@@ -33,12 +33,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataclaim.session import broadcast_checked
+from strataclaim.session import broadcast_checked, write_cut
 
 MAX_ENTRIES = 20_000
 MAX_EDITS = 2
-#: Longer values are sentences, not names; they are compared whole all the same, but not by deletions.
-MAX_FUZZY = 60
+#: A value is hot with more than a ``HOT_SHARE``-th of all rows.
+HOT_SHARE = 1_000
+#: Shorter forms (abbreviations, mostly) are met only as they are spelt: an edit makes another one of them.
+MIN_FUZZY = 6
+#: Longer forms aren't stored under their deletions, whose number grows as the square of the length, but
+#: under ``SEGMENTS`` segments: ``MAX_EDITS`` edits, swaps across a border among them, leave one of them whole.
+LONG, SEGMENTS = 40, 2 * MAX_EDITS + 1
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнгпАВЕКМНОРСТУХІЈЅοανρτυικεχωηΑΒΕΖΗΙΚΜΝΟΡΤΥΧıøłđ", "aeopcyxijsdhkmtbhrnABEKMHOPCTYXIJSoavptuikexwnABEZHIKMNOPTYXiold")
@@ -55,28 +60,39 @@ AFTER = tuple(
     tuple(x.split())
     for x in "level|levels|effect|effects|process|processes|mean|average|median|rate|rates|score|scores|index|value|values|in vitro|in vivo|in silico|ex vivo|see text|see table|see below|ref|sic|et al|measure|measures|response|outcome|outcomes|change|changes|baseline|group|data|overall|total|only|etc|observed|measured|itself|etc".split("|")
 )
+_BEFORE, _AFTER = frozenset(BEFORE), frozenset(AFTER)
 #: Marks of words in another order, and of words cut short.
 _TURNED = regex.compile(r"[,/()]|\b(?:that|which) (?:is|are)\b|\bof\b", regex.I)
 _CUT = regex.compile(r"\p{L}(?:\.{1,3}|…|-\s*$)")
 _JOINERS = frozenset("that is which are of being the".split())
 
 
+_INVISIBLE = regex.compile(r"\p{Cf}+")
+#: Of ASCII, all that is neither letter nor digit becomes a blank.
+_PLAIN = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
+
+
 def plain(value: str) -> str:
     """Lower case, Latin look-alikes, no accents; letters, digits and single blanks."""
+    if value.isascii():
+        v = _CAMEL.sub(" ", value) if not value.isupper() and " " not in value.strip() else value
+        return " ".join(v.translate(_PLAIN).split())
     v = unicodedata.normalize("NFKC", value).translate(_LOOKALIKES)
     v = _CAMEL.sub(" ", v) if not v.isupper() and " " not in v.strip() else v
     v = "".join(c for c in unicodedata.normalize("NFKD", v.casefold()) if not unicodedata.combining(c))
-    v = regex.sub(r"\p{Cf}+", "", v)
-    return " ".join(_TOKEN.findall(v))
+    return " ".join(_TOKEN.findall(_INVISIBLE.sub("", v)))
 
 
 def deletions(word: str, most: int) -> set[str]:
-    """A string and all that remain of it when up to ``most`` characters are deleted."""
+    """A string and all that remain of it when up to ``most`` characters (one or two) are deleted."""
+    n = len(word)
     out = {word}
-    layer = {word}
-    for _ in range(most):
-        layer = {w[:k] + w[k + 1 :] for w in layer for k in range(len(w))}
-        out |= layer
+    if most:
+        out.update([word[:k] + word[k + 1 :] for k in range(n)])
+    if most > 1:
+        for k in range(n):
+            head = word[:k]
+            out.update([head + word[k + 1 : m] + word[m + 1 :] for m in range(k + 1, n)])
     return out
 
 
@@ -87,32 +103,42 @@ def weighted_distance(a: str, b: str, most: float = 3.0) -> float:
     """Damerau-Levenshtein distance (adjacent swaps) with weights; ``inf`` beyond ``most``.
 
     A swap costs 0.9, a doubled or undoubled letter 0.6, a vowel for a vowel 0.8, a doubt in the first
-    letter 0.2 more, all else 1.
+    letter 0.2 more, all else 1. As a step off the diagonal costs 0.6 at least, only a band around it is
+    worked out, so the cost grows with the length alone.
     """
-    if abs(len(a) - len(b)) * 0.6 > most:
-        return float("inf")
-    inf = float("inf")
+    inf, band = float("inf"), int(most / 0.6 + 1e-9)
+    n, m = len(a), len(b)
+    if abs(n - m) > band:
+        return inf
     two: list[float] = []
-    one = [0.0] * (len(b) + 1)
-    for j in range(1, len(b) + 1):
+    one = [inf] * (m + 1)
+    one[0] = 0.0
+    for j in range(1, min(m, band) + 1):
         one[j] = one[j - 1] + (0.6 if j > 1 and b[j - 1] == b[j - 2] else 1.0)
-    for i in range(1, len(a) + 1):
+    for i in range(1, n + 1):
         x = a[i - 1]
         drop = 0.6 if i > 1 and x == a[i - 2] else 1.0
-        now = [one[0] + drop] + [inf] * len(b)
+        now = [inf] * (m + 1)
+        from_, to = max(1, i - band), min(m, i + band)
+        if i <= band:
+            now[0] = one[0] + drop
         low = now[0]
-        for j in range(1, len(b) + 1):
+        for j in range(from_, to + 1):
             y = b[j - 1]
             if x == y:
                 best = one[j - 1]
             else:
-                swap = (0.8 if x in _VOWELS and y in _VOWELS else 1.0) + (0.2 if i == 1 or j == 1 else 0.0)
-                best = one[j - 1] + swap
-                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                    best = min(best, two[j - 2] + 0.9)
-            best = min(best, one[j] + drop, now[j - 1] + (0.6 if j > 1 and y == b[j - 2] else 1.0))
+                best = one[j - 1] + (0.8 if x in _VOWELS and y in _VOWELS else 1.0) + (0.2 if i == 1 or j == 1 else 0.0)
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and two[j - 2] + 0.9 < best:
+                    best = two[j - 2] + 0.9
+            if one[j] + drop < best:
+                best = one[j] + drop
+            add = now[j - 1] + (0.6 if j > 1 and y == b[j - 2] else 1.0)
+            if add < best:
+                best = add
             now[j] = best
-            low = min(low, best)
+            if best < low:
+                low = best
         if low > most:
             return inf
         two, one = one, now
@@ -125,6 +151,11 @@ def _singular(token: str) -> str:
     return token[:-1] if token.endswith("s") and not token.endswith("ss") and len(token) > 3 else token
 
 
+def _segments(n: int) -> list[tuple[int, int]]:
+    """Places of the segments of a form of ``n`` letters."""
+    return [(k * n // SEGMENTS, (k + 1) * n // SEGMENTS) for k in range(SEGMENTS)]
+
+
 @dataclass(frozen=True)
 class Entry:
     """An entry of the reference list."""
@@ -163,18 +194,28 @@ class Matcher:
             self.by_first[ts[0][:3]].append(k)
         self.deletes: dict[str, tuple[str, ...]] = {}
         found: dict[str, list[str]] = defaultdict(list)
+        #: (length, segment's number, its letters) of long forms
+        self.segments: dict[tuple[int, int, str], list[str]] = defaultdict(list)
         for form in self.forms:
-            if len(form) >= 6:
+            if MIN_FUZZY <= len(form) <= LONG:
                 for d in deletions(form, MAX_EDITS):
                     found[d].append(form)
+            elif len(form) > LONG:
+                for k, (low, high) in enumerate(_segments(len(form))):
+                    self.segments[len(form), k, form[low:high]].append(form)
         self.deletes = {k: tuple(v) for k, v in found.items()}
-        self.vocabulary = vocabulary
+        self.stored = frozenset(self.deletes)
+        #: lengths that values near to a form can have
+        self.lengths = {len(f) + d for f in self.forms if len(f) >= MIN_FUZZY for d in range(-MAX_EDITS, MAX_EDITS + 1)}
+        self.long_lengths = {n for n, _, _ in self.segments}
+        self.vocabulary, self.longest = vocabulary, max(map(len, vocabulary), default=0)
         words: dict[str, list[str]] = defaultdict(list)
         for w in vocabulary:
             for d in deletions(w, MAX_EDITS if len(w) > 5 else 1):
                 words[d].append(w)
         self.words = {k: tuple(v) for k, v in words.items()}
         self.memory: dict[str, tuple[int, float]] = {}
+        self.near_words: dict[str, tuple[str | None, float]] = {}
 
     def __call__(self, value: str) -> tuple[int, float]:
         """(id, cost) of the entry a value means; (0, inf) if it means none."""
@@ -193,12 +234,14 @@ class Matcher:
             out.append(bare)
         for ts in list(out):
             while True:
-                cut = next((ts[len(q) :] for q in BEFORE if ts[: len(q)] == q and len(ts) > len(q)), None)
-                if cut is None:
-                    cut = next((ts[: -len(q)] for q in AFTER if ts[-len(q) :] == q and len(ts) > len(q)), None)
-                if cut is None:
+                # no qualifier begins or ends with another one
+                k = next((n for n in (1, 2) if len(ts) > n and ts[:n] in _BEFORE), 0)
+                if k:
+                    ts = ts[k:]
+                elif k := next((n for n in (1, 2) if len(ts) > n and ts[-n:] in _AFTER), 0):
+                    ts = ts[:-k]
+                else:
                     break
-                ts = cut
                 if ts not in out:
                     out.append(ts)
         return out
@@ -216,7 +259,7 @@ class Matcher:
                     return i, 0.2 + 0.1 * cost
             if (i := self.forms.get("".join((*ts[:-1], _singular(ts[-1]))))) is not None:
                 return i, 0.3 + 0.1 * cost
-        if sum(map(len, readings[0])) > MAX_FUZZY if readings else True:
+        if not readings:
             return 0, float("inf")
         # a join of listed words that isn't listed, and isn't cut or turned round, is nearer than any entry
         if any(len(ts) > 1 and all(t in self.vocabulary for t in ts) for ts in readings) and not _TURNED.search(value) and not _CUT.search(value):
@@ -241,7 +284,7 @@ class Matcher:
         # 4. every word misspelt within its own bound
         for cost, ts in enumerate(readings):
             for order in self.orders(ts, value):
-                if len(order) <= 6 and (near := self.joined(order)) and (i := self.forms.get("".join(near))) is not None:
+                if (near := self.joined(order)) and (i := self.forms.get("".join(near))) is not None:
                     return i, self.join_distance(order) + 0.1 * cost
         return 0, float("inf")
 
@@ -251,30 +294,58 @@ class Matcher:
         if not _TURNED.search(value):
             return
         kept = tuple(t for t in ts if t not in _JOINERS)
-        for k in range(1, len(kept) if len(kept) <= 5 else 0):
-            yield kept[k:] + kept[:k]
+        # turned round, it has as many letters and words as before
+        if sum(map(len, kept)) in self.lengths:
+            for k in range(1, len(kept)):
+                yield kept[k:] + kept[:k]
 
     def near(self, text: str) -> list[tuple[str, float]]:
         """Forms within the bound, with their weighted distances."""
-        if len(text) < 5:
+        if len(text) not in self.lengths:
             return []
         most = MAX_EDITS if len(text) > 7 else 1
-        seen = set(itertools.chain.from_iterable(self.deletes.get(d, ()) for d in deletions(text, most)))
+        seen: set[str] = set()
+        if len(text) <= LONG + MAX_EDITS:
+            seen.update(itertools.chain.from_iterable(map(self.deletes.__getitem__, deletions(text, most) & self.stored)))
+        if len(text) > LONG - MAX_EDITS and self.segments:
+            for n in range(len(text) - MAX_EDITS, len(text) + MAX_EDITS + 1):
+                for k, (low, high) in enumerate(_segments(n) if n in self.long_lengths else ()):
+                    for d in range(-MAX_EDITS, MAX_EDITS + 1):
+                        if low + d >= 0:
+                            seen.update(self.segments.get((n, k, text[low + d : high + d]), ()))
         return [(f, d) for f in seen if (d := weighted_distance(text, f, 3.05 if len(text) > 11 else most + 0.25)) < float("inf")]
 
     def word_near(self, token: str) -> tuple[str | None, float]:
         if token in self.vocabulary:
             return token, 0.0
+        if (hit := self.near_words.get(token)) is None:
+            if len(self.near_words) >= self.MEMORY:
+                self.near_words.clear()
+            hit = self.near_words[token] = self.find_word(token)
+        return hit
+
+    def find_word(self, token: str) -> tuple[str | None, float]:
+        # a longer token than any listed word and its edits is near none
+        if len(token) > self.longest + MAX_EDITS:
+            return None, float("inf")
         seen = set(itertools.chain.from_iterable(self.words.get(d, ()) for d in deletions(token, MAX_EDITS if len(token) > 5 else 1)))
         return min(((w, weighted_distance(token, w, 2.25)) for w in sorted(seen)), key=lambda x: x[1], default=(None, float("inf")))
 
     def joined(self, ts: tuple[str, ...]) -> tuple[str, ...] | None:
-        near = [self.word_near(t)[0] for t in ts]
-        return tuple(near) if all(near) else None
+        near = []
+        for t in ts:
+            if (w := self.word_near(t)[0]) is None:
+                return None
+            near.append(w)
+        return tuple(near)
 
     def join_distance(self, ts: tuple[str, ...]) -> float:
         """Distance to the nearest sequence of listed words, whether a name or not."""
-        return sum(self.word_near(t)[1] for t in ts) if len(ts) <= 6 else float("inf")
+        total = 0.0
+        for t in ts:
+            if (total := total + self.word_near(t)[1]) == float("inf"):
+                break
+        return total
 
     def cut_short(self, value: str, readings: list[tuple[str, ...]]) -> int | None:
         """The entry whose words begin with the value's words, where the value is marked or ends as cut."""
@@ -321,38 +392,57 @@ def _match(shared, number: int):
             _MATCHERS[key] = Matcher(*shared.value)
         m = _MATCHERS[key]
         for b in batches:
-            found = [m(v) for v in b.column(3).to_pylist()]
+            found = [m(v) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([i for i, _ in found], pa.int64()), pa.array([c for _, c in found], pa.float64()), pa.array([-m.rank[i][0] if i else 0.0 for i, _ in found], pa.float64())],
-                names=["tab", "row_id", "field", "concept_id", "cost", "frequency"],
+                [b.column(0), b.column(1), pa.array([i for i, _ in found], pa.int64()), pa.array([c for _, c in found], pa.float64()), pa.array([-m.rank[i][0] if i else 0.0 for i, _ in found], pa.float64())],
+                names=["value", "n", "concept_id", "cost", "frequency"],
             )
 
     return run
 
 
-def map_values(values: DataFrame, reference: DataFrame, id_col: str, name_col: str, aliases_col: str, frequency_col: str, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """``(tab, row_id, field, concept_id, cost)`` for ``values`` of (tab, row_id, field, value).
-
-    Values that are null or, letter for letter, a name of the list are left out.
-    """
-    spark = values.sparkSession
-    ref = reference.select(F.col(id_col).cast("long").alias("id"), F.col(name_col).alias("name"), F.col(aliases_col).alias("aliases"), F.col(frequency_col).cast("double").alias("frequency"))
-    names, small = broadcast_checked(ref.select(F.col("name").alias("value")).where("value is not null").distinct())
-    rest = values.select("tab", F.col("row_id").cast("long").alias("row_id"), "field", "value").where("value is not null").join(names, "value", "left_anti").select("tab", "row_id", "field", "value")
-    schema = "tab string, row_id bigint, field string, concept_id bigint, cost double, frequency double"
-    n = ref.count()
-    blocks = max(1, -(-n // max_entries))
-    # words of names: at most a few a name, and only those of a bounded list are held at a time
+def resolve_values(counted: DataFrame, reference: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """``(value, n, concept_id, cost)`` of distinct ``(value, n)``, from a reference of (id, name, aliases, frequency)."""
+    spark = counted.sparkSession
+    blocks = max(1, -(-reference.count() // max_entries))
+    # by number: the work is in the values, not in their bytes
+    counted = counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("value"))
+    if blocks > 1:
+        counted = write_cut(counted)
+    # the words of the list's names, of which there are at most a few a name
+    vocabulary = frozenset(w for r in reference.select("name").toLocalIterator() for w in plain(r.name or "").split())
     parts = []
-    vocabulary = frozenset(w for r in ref.select("name").toLocalIterator() for w in plain(r.name or "").split())
     for k in range(blocks):
-        rows = ref.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
+        rows = reference.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
         shared = spark.sparkContext.broadcast((reference_entries(rows), vocabulary))
-        parts.append(rest.mapInArrow(_match(shared, k), schema))
+        parts.append(counted.mapInArrow(_match(shared, k), "value string, n bigint, concept_id bigint, cost double, frequency double"))
     if blocks == 1:
-        return parts[0].select("tab", "row_id", "field", "concept_id", "cost")
+        return parts[0].select("value", "n", "concept_id", "cost")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     best = F.min(F.struct("cost", (-F.col("frequency")).alias("f"), F.when(F.col("concept_id") == 0, F.lit(2**62)).otherwise(F.col("concept_id")).alias("i"), "concept_id")).alias("b")
-    return out.groupBy("tab", "row_id", "field").agg(best).select("tab", "row_id", "field", F.col("b.concept_id").alias("concept_id"), F.col("b.cost").alias("cost"))
+    return out.groupBy("value", "n").agg(best).select("value", "n", F.col("b.concept_id").alias("concept_id"), F.col("b.cost").alias("cost"))
+
+
+def map_values(values: DataFrame, reference: DataFrame, id_col: str, name_col: str, aliases_col: str, frequency_col: str, max_entries: int = MAX_ENTRIES, hot_share: int = HOT_SHARE) -> DataFrame:
+    """``(tab, row_id, field, concept_id, cost)`` for ``values`` of (tab, row_id, field, value).
+
+    Values that are null or, letter for letter, a name of the list are left out. Every distinct value is
+    resolved once. Values that make up over a ``hot_share``-th of all rows (found exactly from partial
+    counts; there are at most ``hot_share`` of them) meet their entries by a broadcast, the rest by a join
+    on the value, broadcast too if few.
+    """
+    ref = reference.select(F.col(id_col).cast("long").alias("id"), F.col(name_col).alias("name"), F.col(aliases_col).alias("aliases"), F.col(frequency_col).cast("double").alias("frequency"))
+    names = ref.select(F.col("name").alias("value")).where("value is not null").distinct()
+    rows = values.select("tab", F.col("row_id").cast("long").alias("row_id"), "field", "value").where("value is not null")
+    counted = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).join(broadcast_checked(names)[0], "value", "left_anti")
+    resolved = write_cut(resolve_values(counted, ref, max_entries))
+    side, small = broadcast_checked(resolved.select("value", "concept_id", "cost"))
+    columns = ("tab", "row_id", "field", "concept_id", "cost")
+    if small:
+        return rows.join(side, "value").select(*columns)
+    total = resolved.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(resolved.where(F.col("n") > total / hot_share).select("value", "concept_id", "cost"))
+    cold = resolved.where(F.col("n") <= total / hot_share).select("value", "concept_id", "cost")
+    return rows.join(hot, "value").select(*columns).unionByName(rows.join(hot, "value", "left_anti").join(cold, "value").select(*columns))

@@ -5,10 +5,11 @@ Every distinct word is encoded once for the whole corpus:
 1. *Cut.* Each Arrow batch of texts is cut into pre-tokens; the batch keeps, for each document, the
    positions as local numbers into the batch's own list of distinct pre-tokens. This is the explode
    by (word, position) with repeats inside a batch already combined, so a word such as `` the``
-   gives one row a batch, not one an occurrence, and no key is hot.
-2. *Distinct words.* The (batch, number, word) rows are reduced to distinct words by one shuffle with
-   map-side combination, and each word is encoded once.
-3. *Join back* by word, gather each batch's ids by number, and reassemble every document by position.
+   gives one row a batch, not one an occurrence.
+2. *Distinct words.* The (batch, number, word) rows are counted by word in one shuffle with
+   map-side combination, and each distinct word is encoded once.
+3. *Join back* by word, hot words (found exactly by their counts, so few) by a broadcast; gather each batch's
+   ids by number, and reassemble every document by position.
 
 Null and empty texts have an empty list of ids; a blank text has the ids of its blanks. Strings that
 look like special tokens are ordinary text. Extra columns, whatever their names, are left out. Rows
@@ -23,18 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataclaim.session import write_cut
+from strataclaim.session import broadcast_checked, write_cut
 
 #: The published cutting pattern of the 50k byte-level vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of text that one batch of documents holds at most, unless a single text has more.
 BATCH_CHARS = 1_000_000
+#: A word is hot with more than a ``HOT_SHARE``-th of all (batch, word) rows.
+HOT_SHARE = 1_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -93,21 +97,29 @@ def _encode_words(path: str):
         for b in batches:
             ws = b.column(0)
             out = [enc.encode_ordinary(w) for w in ws.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ws.cast(pa.string()), pa.array(out, pa.list_(pa.int32()))], names=["word", "word_ids"])
+            yield pa.RecordBatch.from_arrays([ws.cast(pa.string()), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["word", "n", "word_ids"])
 
     return run
 
 
-def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAULT_VOCABULARY, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAULT_VOCABULARY, batch_chars: int = BATCH_CHARS, hot_share: int = HOT_SHARE) -> DataFrame:
     """``(id_col, ids ARRAY<INT>)`` of every row of ``df``; see the module's text."""
     id_type = df.schema[id_col].dataType.simpleString()
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     batches = write_cut(src.mapInArrow(_cut_batches(arrow_id, batch_chars), f"batch string, docs array<struct<id:{id_type},places:array<int>>>, words array<string>"))
     words = batches.select("batch", F.posexplode("words").alias("number", "word"))
-    encoded = words.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, word_ids array<int>")
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    encoded = write_cut(counted.mapInArrow(_encode_words(vocabulary), "word string, n bigint, word_ids array<int>"))
+    # exact counts of rows: at most hot_share words can have over a hot_share-th of them
+    bound = (encoded.agg(F.sum("n")).first()[0] or 0) / hot_share
+    hot, _ = broadcast_checked(encoded.where(F.col("n") > bound).select("word", "word_ids"))
+    cold = encoded.where(F.col("n") <= bound).select("word", "word_ids")
+    met = words.join(hot, "word", "left")
+    columns = ("batch", "number", "word_ids")
     lists = (
-        words.join(encoded, "word")
+        met.where("word_ids is not null").select(*columns)
+        .unionByName(met.where("word_ids is null").select("batch", "number", "word").join(cold, "word").select(*columns))
         .groupBy("batch")
         .agg(F.array_sort(F.collect_list(F.struct("number", "word_ids"))).alias("x"))
         .select("batch", F.col("x.word_ids").alias("table"))
@@ -119,15 +131,25 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = D
 
 
 def decode_corpus(df: DataFrame, id_col: str, ids_col: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """``(id_col, text)`` from token ids, by a join with the token-byte table.
+    """``(id_col, text)`` from token ids, by a join with the token-byte table where the ids are.
 
-    The table has one row a vocabulary entry (a size that doesn't grow with the data), so it is
-    broadcast; token bytes come back in order of position and are joined on the JVM side. An empty
-    or null list gives an empty text. ``id_col`` must be unique.
+    The table has one row a vocabulary entry (a size that doesn't grow with the data), so every task reads
+    it, takes the bytes of a batch's ids from it in their order, and joins them by row; nothing is shuffled.
+    An empty or null list gives an empty text, bytes that are no UTF-8 the replacement character. An id
+    beyond the vocabulary is an error.
     """
-    spark = df.sparkSession
-    ranks = read_ranks(vocabulary)
-    tokens = spark.createDataFrame(pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([k.hex() for k in ranks], pa.string())}))
-    parts = df.select(F.col(id_col).alias("id"), F.posexplode(ids_col).alias("place", "token")).join(F.broadcast(tokens), "token")
-    texts = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "bytes"))).alias("x")).select("id", F.unhex(F.array_join(F.col("x.bytes"), "")).cast("string").alias("text"))
-    return df.select(F.col(id_col).alias("id")).join(texts, "id", "left").select(F.col("id").alias(id_col), F.coalesce("text", F.lit("")).alias("text"))
+    src = df.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(vocabulary)
+        table = pa.array(sorted(ranks, key=ranks.__getitem__), pa.binary())
+        for b in batches:
+            for low in range(0, b.num_rows, 1000):
+                part = b.slice(low, 1000)
+                lists = part.column(1)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                spelt = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), table.take(lists.flatten()))
+                texts = [x.as_py().decode("utf-8", "replace") for x in pc.binary_join(spelt, b"")]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)

@@ -5,15 +5,16 @@ Windows of both sides are hashed under each mask and joined on the hash; around
 overlap is extended both ways over substituted words, and measured. A run of ``min_run`` equal words
 is hit by every mask of ``span <= min_run``, wherever the run lies, so none is missed.
 
-Cost: one pass over the corpus. A fixed-size bitmap of the items' hashes (2 MB, whatever the data)
-lets only documents with a possible hit leave the pass; these carry their text along, so the corpus
-itself is never shuffled. Items' hashes are then joined, broadcast only if their number is proven
-small. Repeated documents and items that share a passage each give their own rows. Null and empty
+Cost: one pass over the corpus. A bitmap of the items' hashes, of 128 bits a window as counted (16 bytes;
+``MAX_BITS`` at most, which 16 million windows fill so far), lets only documents with a possible hit leave
+the pass; these carry their text along, so the corpus itself is never shuffled. Items' hashes are then
+joined, broadcast only if they are proven small. Repeated documents and items that share a passage each give their own rows. Null and empty
 texts on either side give none. Extra columns are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataclaim.llm.textmap import WordHashes, mix, words
+from strataclaim.llm.textmap import mix, word_hashes, words
 from strataclaim.session import broadcast_checked, cut
 
 #: Fixed masks over 14 words; 0 is an ignored place.
 MASKS = ("11101100101111", "11011110110011")
 MIN_RUN = 14
-BITS = 24
+#: The bitmap has 128 bits a window of the items, of which ``PROBES`` are set, and 2**31 (256 MB) at most.
+MAX_BITS, PROBES = 31, 3
 
 
 def seed_hashes(hashes: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
@@ -48,45 +50,90 @@ def seed_hashes(hashes: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-def _hash_words(ws: list[str], cache: WordHashes) -> np.ndarray:
-    return np.fromiter((cache[w] for w in ws), np.uint64, len(ws))
+def _windows(texts: pa.Array, masks: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text's number, place of the first word, hash) of all windows under each mask, none across texts."""
+    flat, sizes = word_hashes(texts)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for mask, h in zip(masks, seed_hashes(flat, masks)):
+        inside = np.flatnonzero(owner[: len(h)] == owner[len(mask) - 1 :][: len(h)])
+        yield owner[inside], (inside - starts[owner[inside]]).astype(np.int32), h[inside]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for low in range(0, b.num_rows, rows):
+            yield b.slice(low, rows)
 
 
 def _seeds_of(masks: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for b in batches:
-            ids, hs, at = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for h in seed_hashes(_hash_words(words(t), cache), masks):
-                    ids += [i] * len(h)
-                    hs.append(h)
-                    at.append(np.arange(len(h), dtype=np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(at))], names=["item_id", "hash", "item_at"])
+        for b in _slices(batches):
+            for owner, at, h in _windows(b.column(1), masks):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array(at)], names=["item_id", "hash", "item_at"])
 
     return run
 
 
+def _place(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The bit of a bitmap that stands for a hash in one probe."""
+    with np.errstate(over="ignore"):
+        return (mix(h + np.uint64(probe)) if probe else h) >> np.uint64(64 - bits)
+
+
+def bitmap_of(seeds: DataFrame, bits: int) -> bytes:
+    """A bitmap of hashes; its parts are filled on the executors, each by one task."""
+    part = min(bits, 19)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate([_place(b.column(0).to_numpy().view(np.uint64), k, bits) for k in range(PROBES)]))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(part)).astype(np.int32)), pa.array((at & np.uint64(2**part - 1)).astype(np.int32))], names=["part", "at"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            number, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in np.unique(number).tolist():
+                own = at[number == k]
+                np.bitwise_or.at(parts.setdefault(k, np.zeros(2**part // 8, np.uint8)), own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bytes"])
+
+    whole = np.zeros((2 ** (bits - part), 2**part // 8), np.uint8)
+    filled = seeds.select("hash").mapInArrow(place, "part int, at int").repartition("part").mapInArrow(fill, "part int, bytes binary")
+    for r in filled.toLocalIterator():
+        whole[r.part] = np.frombuffer(r.bytes, np.uint8)
+    return whole.tobytes()
+
+
+def _in_bitmap(h: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the hashes that may be in a bitmap."""
+    left = np.arange(len(h))
+    for k in range(PROBES):
+        at = _place(h[left], k, bits)
+        left = left[np.flatnonzero((bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)]
+    return left
+
+
 def _hits_of(masks: tuple[str, ...], bitmap, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bitmap_ = WordHashes(), np.frombuffer(bitmap.value, np.uint8)
-        for b in batches:
-            docs = [words(t) for t in b.column(1).to_pylist()]
-            rows, hits = [], []
-            for k, ws in enumerate(docs):
-                found = []
-                for h in seed_hashes(_hash_words(ws, cache), masks) if len(ws) >= len(masks[0]) else ():
-                    top = h >> np.uint64(64 - bits)
-                    at = np.flatnonzero((bitmap_[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8)) & 1)
-                    found += [{"hash": int(x), "doc_at": int(p)} for x, p in zip(h[at].view(np.int64), at)]
-                if found:
-                    rows.append(k)
-                    hits.append(found)
-            if rows:
-                kind = pa.list_(pa.struct([("hash", pa.int64()), ("doc_at", pa.int32())]))
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take).cast(pa.string()), pa.array(hits, kind)], names=["doc_id", "text", "hits"])
+        bitmap_ = np.frombuffer(bitmap.value, np.uint8)
+        for b in _slices(batches):
+            found = []
+            for owner, at, h in _windows(b.column(1), masks):
+                hit = _in_bitmap(h, bitmap_, bits)
+                found.append((owner[hit], at[hit], h[hit]))
+            owner, at, h = (np.concatenate(x) for x in zip(*found))
+            if not len(owner):
+                continue
+            order = np.argsort(owner, kind="stable")
+            rows, sizes = np.unique(owner, return_counts=True)
+            hits = pa.StructArray.from_arrays([pa.array(h[order].view(np.int64)), pa.array(at[order])], ["hash", "doc_at"])
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take).cast(pa.string()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), hits)], names=["doc_id", "text", "hits"]
+            )
 
     return run
 
@@ -113,7 +160,7 @@ def overlaps(doc: list[str], item: list[str], at: list[tuple[int, int]], gap: in
     return best_run, best_span, best_same
 
 
-def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, min_run: int = MIN_RUN, masks: tuple[str, ...] = MASKS, gap: int = 2, bits: int = BITS) -> DataFrame:
+def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, min_run: int = MIN_RUN, masks: tuple[str, ...] = MASKS, gap: int = 2) -> DataFrame:
     """``(doc_id, item_id, run, span, same)`` of documents that share at least one seed with an item.
 
     ``run`` is the longest run of equal words, ``span`` and ``same`` the words and the equal words of
@@ -125,13 +172,9 @@ def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame,
     test = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     item_type, doc_type = (df.schema[c].dataType.simpleString() for df, c in ((items, item_id), (docs, doc_id)))
     seeds = cut(test.where("text is not null").mapInArrow(_seeds_of(masks), f"item_id {item_type}, hash bigint, item_at int"))
-    # the bitmap has a fixed size; its bits are combined on the executors, byte by byte
-    top = F.shiftrightunsigned("hash", 64 - bits)
-    filled = seeds.select(F.shiftrightunsigned(top, 3).alias("byte"), F.pmod(top, F.lit(8)).cast("int").alias("bit")).groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("x"))
-    bitmap = np.zeros(2 ** (bits - 3), np.uint8)
-    got = filled.toPandas()
-    bitmap[got["byte"].to_numpy(np.int64)] = got["x"].to_numpy(np.int64).astype(np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+    # three bits of 128 are set at most, so about one window of 80,000 leaves by chance
+    bits = min(MAX_BITS, max(16, math.ceil(math.log2(128 * max(1, seeds.count())))))
+    shared = spark.sparkContext.broadcast(bitmap_of(seeds, bits))
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where("text is not null")
     near = cut(src.mapInArrow(_hits_of(masks, shared, bits), f"doc_id {doc_type}, text string, hits array<struct<hash:bigint,doc_at:int>>"))
     side, _ = broadcast_checked(seeds)

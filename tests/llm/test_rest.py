@@ -282,3 +282,14 @@ def test_lines_beyond_what_tasks_hold(spark, held):
     assert got == {k: (f"own {'x' * k}\n", 2) for k in range(30)} | {99: ("Follow us", 0)}
     pages = spark.createDataFrame([(k % 7, "h", f"Good {'y' * k}\nAll rights reserved") for k in range(60)] + [(3, "h", "404 Not Found\nAll rights reserved")], "id long, host string, text string")
     assert [tuple(r)[:2] for r in residue.residue(pages, "id", "host", "text", max_held=held).collect()] == [(3, "error")]
+
+
+def test_bitmap_holds_every_hash_and_little_else(spark):
+    rnd = np.random.default_rng(9)
+    hashes = rnd.integers(0, 2**63, 5000, np.int64)
+    seeds = spark.createDataFrame([(int(h),) for h in hashes], "hash long")
+    for bits in (16, 20, 22):
+        bitmap = np.frombuffer(leakage.bitmap_of(seeds, bits), np.uint8)
+        assert len(bitmap) == 2**bits // 8
+        assert len(leakage._in_bitmap(hashes.view(np.uint64), bitmap, bits)) == 5000
+    assert len(leakage._in_bitmap(rnd.integers(0, 2**63, 100_000, np.int64).view(np.uint64), bitmap, bits)) < 20

@@ -5,7 +5,7 @@ Each takes columns and gives a column, so everything stays in generated code on
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from operator import add, or_
 
@@ -13,6 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def low(c: Column | str) -> Column:
     """Lower case; a null counts as empty."""
     return F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
@@ -57,8 +62,7 @@ def best_bucket(text: Column, buckets: Mapping[str, Iterable[str]], default: str
     """The bucket with most words in the text; the earlier one of a tie; the default if none has any."""
     n = len(buckets)
     scored = F.array(*(F.struct(count_of(text, ws).alias("hits"), F.lit(n - k).alias("order"), F.lit(name).alias("name")) for k, (name, ws) in enumerate(buckets.items())))
-    best = F.array_max(scored)
-    return F.when(best["hits"] > 0, best["name"]).otherwise(default)
+    return once(F.array_max(scored), lambda best: F.when(best["hits"] > 0, best["name"]).otherwise(default))
 
 
 def words_over(c: Column, length: int) -> Column:
@@ -95,3 +99,19 @@ def clamp(c: Column, low_: float, high: float) -> Column:
 def yes(c: Column, weight: float) -> Column:
     """``weight`` where a condition holds, else 0."""
     return F.when(c, F.lit(weight)).otherwise(F.lit(0.0))
+
+
+_SIDE = r"A-Za-z0-9_\^\*\+\-/\(\)\s"
+#: A whole run of letters that sides of an equation may have, with an equals sign in it.
+_EQUATION_RUN = rf"(?<![{_SIDE}=])[{_SIDE}]++=[{_SIDE}=]*+"
+
+
+def equations(c: Column, pattern: str) -> Column:
+    """``(lhs, rhs)`` of the equations in a text, trimmed.
+
+    The pattern is tried on runs with an equals sign only: on a whole text it would look at the rest of a run
+    again from each of its letters.
+    """
+    runs = F.when(c.contains("="), F.regexp_extract_all(c, F.lit(_EQUATION_RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(pattern), F.lit(0))))
+    return F.transform(found, lambda m: F.struct(F.trim(F.substring_index(m, "=", 1)).alias("lhs"), F.trim(F.regexp_replace(F.substring_index(m, "=", -1), r"^\s+", "")).alias("rhs")))

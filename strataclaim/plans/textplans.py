@@ -96,8 +96,7 @@ def extract_claims(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, trim(e.lhs) AS lhs, trim(e.rhs) AS rhs FROM x""".replace("unnest(regexp_extract_all(text, " + sq.q(lx.EQUATION) + ", ['lhs', 'rhs'])) AS e", f"unnest(list_zip(regexp_extract_all(text, {sq.q(lx.EQUATION)}, 1), regexp_extract_all(text, {sq.q(lx.EQUATION)}, 2))) AS e").replace("e.lhs", "e[1]").replace("e.rhs", "e[2]"))
 def find_equations(spark: SparkSession, d: str) -> DataFrame:
     """Left and right sides of ``lhs = rhs`` in documents."""
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(lx.EQUATION), F.lit(1)).alias("l"), F.regexp_extract_all("text", F.lit(lx.EQUATION), F.lit(2)).alias("r"))
-    return table(spark, d, "documents").select("doc_id", F.explode(pairs).alias("e")).select("doc_id", F.trim("e.l").alias("lhs"), F.trim("e.r").alias("rhs"))
+    return table(spark, d, "documents").select("doc_id", F.inline(tx.equations(F.col("text"), lx.EQUATION)))
 
 
 def _symbols_sql(t: str) -> str:

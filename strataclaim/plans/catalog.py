@@ -28,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-MODULES = ("textplans", "driftplans", "storeplans", "aggplans", "joinplans", "graphplans", "streamplans", "hookplans", "researchplans", "claimplans")
+MODULES = ("textplans", "driftplans", "storeplans", "aggplans", "joinplans", "graphplans", "streamplans", "hookplans", "researchplans", "claimplans", "ladderplans")
 
 
 def _load() -> None:

@@ -20,6 +20,7 @@ long responses are processed whole. Repeated rows each get their row. Extra colu
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,10 +49,10 @@ FUNCTION_WORDS = {
     "it": "il lo la i gli le di e in che un una è per con non si del della dei delle al alla da ma più come sono nel nella ha anche soltanto questo dopo senza tra dati circa",
     "pt": "o a os as de e em que um uma é por com para não se do da dos das ao mais como mas no na são sem após entre foi",
 }
-_WORD_LANGS: dict[str, list[str]] = {}
+_WORD_LANGS: dict[str, tuple[str, ...]] = {}
 for _lang, _ws in FUNCTION_WORDS.items():
-    for _w in _ws.split():
-        _WORD_LANGS.setdefault(_w, []).append(_lang)
+    for _w in dict.fromkeys(_ws.split()):
+        _WORD_LANGS[_w] = (*_WORD_LANGS.get(_w, ()), _lang)
 
 _SCRIPTS = {
     "zh": regex.compile(r"\p{Han}"),
@@ -80,16 +81,16 @@ def language(text: str) -> str | None:
     Scripts count by their share of letters, languages in Latin script by function words; words that
     several languages share count for each in part.
     """
-    if _OTHER_SCRIPT.search(text):
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
         letters = len(_LETTER.findall(text))
         for lang, p in _SCRIPTS.items():
             # a letter of a script without spaces stands for more than one of a word
             if len(p.findall(text)) * (3 if lang in ("zh", "ja", "ko") else 1) > letters / 2:
                 return lang
     score: Counter = Counter()
-    for w in words(text):
-        for lang in (found := _WORD_LANGS.get(w, ())):
-            score[lang] += 1 / len(found)
+    for found, n in Counter(map(_WORD_LANGS.get, words(text))).items():
+        for lang in found or ():
+            score[lang] += n / len(found)
     if not score:
         return None
     (lang, most), *rest = score.most_common(2)
@@ -101,6 +102,15 @@ def language(text: str) -> str | None:
 _STEP = regex.compile(r"(?im)^[^\p{L}\p{N}\n]*step\s*(\d+)\b")
 _STEP_HEAD = regex.compile(r"(?i)^[^\p{L}\p{N}]*step\s*\d+\s*(?:[-–—:(]?\s*\**\s*\p{Lu}[\p{Lu} ]+\)?)?\s*\**\s*(?:[-–—:]+|$)\s*")
 _MARKS = regex.compile(r"[^\p{L}\p{N}]+")
+_CONTENT = regex.compile(r"[\p{L}\p{N}]")
+_BULLET = regex.compile(r"^\s*[-*•]\s+")
+
+
+def _step_text(line: str) -> str:
+    """A line without the heading of a step."""
+    return _STEP_HEAD.sub("", line) if "step" in line.lower() or "ſ" in line else line
+
+
 #: What stands for an answer without being one (a fixed list, without marks, lower-cased).
 PLACEHOLDERS = frozenset(
     "n a|na|none|null|nil|nan|empty|blank|no content|no answer|no response|no text|no output|not available|not applicable|unavailable|undefined|missing|tbd|todo|tba|answer|the answer|response|the response|reply|output|result|results|main points|key points|summary|conclusion|answer here|your answer here|insert answer|placeholder|begin answer|end answer|final answer|body|text|content".split("|")
@@ -109,11 +119,10 @@ PLACEHOLDERS = frozenset(
 
 def is_empty(response: str | None) -> bool:
     """Whether a response holds no answer content: blanks, marks, placeholders, bare headings."""
-    if response is None or not _MARKS.sub("", response):
+    if response is None or not _CONTENT.search(response):
         return True
     for line in response.split("\n"):
-        if (m := _STEP_HEAD.match(line)) is not None:
-            line = line[m.end() :]
+        line = _step_text(line)
         plain = _MARKS.sub(" ", line).strip().lower()
         if not plain or plain in PLACEHOLDERS:
             continue
@@ -144,7 +153,19 @@ def is_copied(query: str | None, response: str, frame: int = 8) -> bool:
     return found and len(rest) <= frame and not _ANSWER_WORDS.intersection(rest)
 
 
-_SENTENCE = regex.compile(r"(?<=[.!?。！？][\"'”’»)\]*_]{0,3})\s+|(?<=[。！？])|\n+")
+_SENTENCE = re.compile(r"([.!?][\"'”’»)\]*_]{0,3})\s+|([。！？][\"'”’»)\]*_]{0,3})\s+|([。！？])|\n+")
+
+
+def split_sentences(text: str) -> list[str]:
+    """A text cut after stops with what closes them, at blanks; after full-width stops also without."""
+    out, at = [], 0
+    for m in _SENTENCE.finditer(text):
+        out.append(text[at : m.end(m.lastindex) if m.lastindex else m.start()])
+        at = m.end()
+    out.append(text[at:])
+    return out
+
+
 
 _DENY = r"(?:can(?:no|['’])?t|can not|could not|couldn['’]t|won['’]t|will not|shall not|am not|['’]m not|is not|isn['’]t|am unable|['’]m unable|are unable|is unable|unable to|must decline|must refuse|must pass|have to pass|have to decline|decline to|refuse to|not able|not allowed|not permitted|not going to|do(?:es)? not|don['’]t|would not|wouldn['’]t|rather not|prefer not|may not|prefer to (?:stay|remain)|has blocked|have blocked|been instructed|been told|will leave|has been (?:blocked|disabled|restricted))"
 _SPEAK = r"(?:answer|respon[ds]|reply|comment|discuss|assist|help|speak|talk|say|tell|judge|rank|assess|evaluat|provide|give|offer|share|complete|address|engage|opin|verdict|weigh|rate|advise|do that|fulfil|continue|silent|neutral|permitted to|allowed to|comfortable|appropriate|ranking)"
@@ -181,6 +202,35 @@ REFUSALS = tuple(
 _GATE = regex.compile(
     r"(?i)\b(?:I|me|my|we|our|us|assistant|system|service|model|chatbot|bot|tool|ai|can do|pass on|ich|mir|je|m['’]interdi\w*|puedo|debo|quiero|podr\w*|estoy|tengo|soy|negarme|posso|potrei|sono|desidero|devo|mi)\b|scope of|no comment|something else|elsewhere|silent|unanswered|open for|has blocked|ablehn|beantwort|préfère|permet|permite|prefiero|niego|preferisco|rifiut|polic|guideline|principle|rules|instructions|richtlinien|regeln"
 )
+#: Parts, lower-cased, of which every match of the patterns above has one: a cheap look before the dear ones.
+_PARTS = tuple(
+    "not|n't|n’t|cant|unable|decline|refuse|must pass|have to pass|prefer|blocked|instructed|told|leave|disabled|restricted|beyond|outside|out of|comment|no can do|pass on|something else|elsewhere|against|guideline|policy|policies|rules|instructions|silent|unanswered|language model|as an ai|as a ai|"
+    "ich|ablehn|mir|je |j'|m'|m’|préfère|permet|permite|puedo|debo|quiero|podr|estoy|tengo|soy|negarme|prefiero|niego|non|preferisco|rifiut|devo".split("|")
+)
+
+
+def may_refuse(text: str) -> bool:
+    """Whether a text has a part that every refusing pattern has one of."""
+    low = text.lower()
+    if not low.isascii():
+        # letters that patterns without case take for others
+        low = low.replace("ſ", "s").replace("ı", "i").replace("i\u0307", "i")
+    return any(x in low for x in _PARTS)
+
+
+#: The gate's words, and the beginnings and longer parts it has beside them.
+_GATE_WORDS = frozenset("i me my we our us assistant system service model chatbot bot tool ai ich mir je puedo debo quiero estoy tengo soy negarme posso potrei sono desidero devo mi".split())
+_GATE_PARTS = tuple("can do|pass on|podr|interdi|scope of|no comment|something else|elsewhere|silent|unanswered|open for|has blocked|ablehn|beantwort|préfère|permet|permite|prefiero|niego|preferisco|rifiut|polic|guideline|principle|rules|instructions|richtlinien|regeln".split("|"))
+
+
+def _may_pass_gate(text: str) -> bool:
+    """True wherever the gate passes, and seldom elsewhere."""
+    if not _GATE_WORDS.isdisjoint(words(text)):
+        return True
+    low = text.lower()
+    return any(x in low for x in _GATE_PARTS) or "ſ" in text or "ı" in text or "İ" in text
+
+
 _NUMBER = regex.compile(r"\d")
 #: Signs of sentences that greet, thank, ask or send elsewhere (a fixed list).
 _COURTESY = regex.compile(
@@ -204,12 +254,12 @@ def is_refusal(response: str, query: str | None = None, most_answering: int = 2)
     """
     said = unquoted(response)
     # most responses have none of the words that every refusal has one of
-    if not _GATE.search(said):
+    if not may_refuse(said) or not _may_pass_gate(said):
         return False
-    lines = [_STEP_HEAD.sub("", line) for line in said.split("\n")]
+    lines = map(_step_text, said.split("\n"))
     others, refusing = [], False
-    for s in (s for line in lines for s in _SENTENCE.split(line) if s and _LETTER.search(s)):
-        if _GATE.search(s) and any(p.search(s) for p in REFUSALS):
+    for s in (s for line in lines for s in split_sentences(line) if s and _LETTER.search(s)):
+        if may_refuse(s) and _may_pass_gate(s) and _GATE.search(s) and any(p.search(s) for p in REFUSALS):
             refusing = True
         elif _NUMBER.search(s):
             return False
@@ -235,7 +285,7 @@ def is_foreign(query: str | None, response: str) -> bool:
 _CITED = regex.compile(r"\s*(?:\[[\d,;\s–-]+\]|\((?:see|cf\.?|ref\.?|siehe|voir|véase)[^()]*\)|\(\d{4}\))\s*$")
 _CLOSED = regex.compile(r"[.!?。！？؟][\"'”’»)\]*_`]*$")
 _TORN = regex.compile(r"(?:\[\s*(?:cont\w*|more|truncated|cut|\.\.\.|…)?\s*\.*\s*\]?|\(\s*(?:cont\w*|more|\.\.\.|…)?\s*\)?|<(?:cont|more|truncated)[^>]*>|…|\.{2,}|[-–—,;([{/&+=<]|\*+|\n\s*(?:\d+[.)]?|[-*•]+)|#+)\s*$")
-_LIST_MARK = regex.compile(r"(?:^|\n)\s*(?:\d+[.)]|[-*•])\s*$")
+_LIST_MARK = regex.compile(r"\d+[.)]|[-*•]")
 _FIGURE_LINE = regex.compile(r"(?i)^[^\p{L}\p{N}]*(?:overall\s+)?(?:confidence|verdict|score|certainty|rating)[^\p{L}\p{N}]*:?\W*[\d.,]+\s*%?(?:\s*\([\p{L} ]+\))?[^\p{L}\p{N}]*$")
 #: Words after which no sentence ends (a fixed list of conjunctions, articles and prepositions).
 _DANGLING = frozenset("and or but nor because whereas which that the a an of in on at by with from to for into than as if while although though its their our whose und oder aber weil dass der die das et ou mais parce que le la les des y o pero porque el los las e ma perché il lo gli".split())
@@ -246,20 +296,20 @@ def ending(response: str) -> tuple[str, str]:
     text = response.rstrip().rstrip("​﻿").rstrip()
     if text.endswith(("`", "_")):
         text = text.rstrip("`_\n ")
-    if _LIST_MARK.search(text):
-        return "torn", ""
     last = text.rsplit("\n", 1)[-1]
+    if _LIST_MARK.fullmatch(last.strip()):
+        return "torn", ""
     if _FIGURE_LINE.match(last):
         return "closed", last
-    bare = _CITED.sub("", text)
+    bare = _CITED.sub("", text) if text.endswith(("]", ")")) else text
     if text.endswith("**") and _CLOSED.search(text.rstrip("* ")):
         bare = text.rstrip("* ")
     if not text.endswith(("...", "…")) and _CLOSED.search(bare):
         return "closed", last
     if bare == text and _TORN.search(text):
         return "torn", ""
-    line = _STEP_HEAD.sub("", regex.sub(r"^\s*[-*•]\s+", "", bare.rsplit("\n", 1)[-1]))
-    unit = [s for s in _SENTENCE.split(line) if s.strip()]
+    line = _step_text(_BULLET.sub("", bare.rsplit("\n", 1)[-1]))
+    unit = [s for s in split_sentences(line) if s.strip()]
     ws = words(unit[-1]) if unit else []
     if not ws or ws[-1] in _DANGLING:
         return "torn", ""
@@ -268,7 +318,7 @@ def ending(response: str) -> tuple[str, str]:
 
 def steps_missing(response: str, steps: int = STEPS) -> bool:
     """Whether an answer laid out in steps breaks off before its last step or inside its heading."""
-    marks = list(_STEP.finditer(response))
+    marks = list(_STEP.finditer(response)) if "step" in response.lower() or "ſ" in response else []
     if not marks or marks[0][1] != "1":
         return False
     if max(int(m[1]) for m in marks) < steps:
@@ -287,8 +337,8 @@ def sentences_of(response: str) -> list[str]:
     """The finished sentences of a response, without list marks and headings."""
     out = []
     for line in response.split("\n"):
-        line = _STEP_HEAD.sub("", regex.sub(r"^\s*[-*•]\s+", "", line)).strip()
-        out += [s for s in _SENTENCE.split(line) if s and _CLOSED.search(s.rstrip()) and not s.rstrip().endswith(("...", "…"))]
+        line = _step_text(_BULLET.sub("", line)).strip()
+        out += [s for s in split_sentences(line) if s and _CLOSED.search(s.rstrip()) and not s.rstrip().endswith(("...", "…"))]
     return out
 
 
@@ -390,18 +440,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words and word pairs, of those that end a sentence, and of responses with a word."""
     for b in batches:
         n: Counter = Counter()
+        two: Counter = Counter()
         final: Counter = Counter()
         docs: Counter = Counter()
         for r in b.column(0).to_pylist():
             ws = words(r)
             n.update(ws)
-            n.update(map(" ".join, zip(ws, ws[1:])))
+            two.update(zip(ws, ws[1:]))
             docs.update(set(ws))
             for s in sentences_of(r):
                 if x := stat_words(_CITED.sub("", s.rstrip(".!?。 "))):
                     final[x[-1]] += 1
                     if len(x) > 1:
                         final[" ".join(x[-2:])] += 1
+        n.update({" ".join(k): c for k, c in two.items()})
         keys = list(n)
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array([c[k] for k in keys], pa.int64()) for c in (n, final, docs))], names=["key", "n", "final", "docs"])
@@ -460,6 +512,7 @@ def defective_pairs(df: DataFrame, id_col: str, query_col: str, response_col: st
     stems = prefix_neighbours(open_.select(bare("stem").alias("stem")).unionByName(responses.select(bare("response").alias("stem"))), "stem").select(F.md5("text").alias("k"), F.lit(True).alias("shortened"))
     limits = F.broadcast(length_limits(open_.select(F.length("stem").alias("length")), "length").select("length", F.lit(True).alias("limit")))
     out = framed.withColumn("k", F.md5(bare("stem"))).withColumn("length", F.length("stem")).join(stems, "k", "left").join(limits, "length", "left")
+    # beside the rules: endings, frames that are whole common prefixes of their neighbours, whole responses that are, lengths
     cut_off = F.coalesce("odd_end", F.lit(False)) | (F.col("whole").isNull() & F.col("goes_on").isNotNull()) | F.col("shortened").isNotNull() | F.col("limit").isNotNull()
     found = known.unionByName(out.where(cut_off).select("id", F.lit("truncated").alias("defect")))
     return found.select(F.col("id").alias(id_col), "defect")

@@ -103,7 +103,7 @@ def yes(c: Column, weight: float) -> Column:
 
 _SIDE = r"A-Za-z0-9_\^\*\+\-/\(\)\s"
 #: A whole run of letters that sides of an equation may have, with an equals sign in it.
-_EQUATION_RUN = rf"(?<![{_SIDE}=])[{_SIDE}]++=[{_SIDE}=]*+"
+_EQUATION_RUN = rf"(?<![{_SIDE}])[{_SIDE}]++=[{_SIDE}=]*+"
 
 
 def equations(c: Column, pattern: str) -> Column:
@@ -114,4 +114,4 @@ def equations(c: Column, pattern: str) -> Column:
     """
     runs = F.when(c.contains("="), F.regexp_extract_all(c, F.lit(_EQUATION_RUN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(pattern), F.lit(0))))
-    return F.transform(found, lambda m: F.struct(F.trim(F.substring_index(m, "=", 1)).alias("lhs"), F.trim(F.regexp_replace(F.substring_index(m, "=", -1), r"^\s+", "")).alias("rhs")))
+    return F.transform(found, lambda m: F.struct(F.trim(F.substring_index(m, "=", 1)).alias("lhs"), F.trim(F.regexp_replace(F.substring_index(m, "=", -1), r"(?s)^\s+(?=.)", "")).alias("rhs")))

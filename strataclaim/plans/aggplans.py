@@ -150,20 +150,24 @@ def concept_domain(spark: SparkSession, d: str) -> DataFrame:
     return best.select("concept", "b.domain", (-F.col("b.k")).alias("n"))
 
 
-_BRIDGES = (("plasticity", "neuroscience", "ml_ai"), ("diffusion", "physics", "economics"), ("feedback", "climate", "robotics"), ("attention", "ml_ai", "neuroscience"), ("selectivity", "chemistry", "biology"), ("adherence", "medicine", "psychology"))
-
-
-@query("WITH m(pos, mechanism, a, b) AS (VALUES " + ", ".join(f"({k}, {sq.q(m)}, {sq.q(a)}, {sq.q(b)})" for k, (m, a, b) in enumerate(_BRIDGES)) + """)
-SELECT mechanism, a AS from_domain, b AS to_domain, count(c.chunk_id) AS bridge, round(1 / (1 + count(c.chunk_id) / 10.0), 6) AS novelty FROM m LEFT JOIN chunks c ON contains(lower(c.text), mechanism) AND c.domain IN (a, b) GROUP BY pos, mechanism, a, b""")
+@query("WITH m(pos, mechanism, a, b) AS (VALUES " + ", ".join(f"({k}, {sq.q(m)}, {sq.q(a)}, {sq.q(b)})" for k, (m, a, b) in enumerate(lx.BRIDGES)) + """),
+g AS (SELECT pos, mechanism, a, b, count(*) FILTER (contains(lower(c.text), mechanism) AND (contains(lower(c.text), left(a, 4)) OR contains(lower(c.text), left(b, 4)))) AS bridge, count(*) FILTER (contains(lower(c.text), mechanism) AND c.domain = a) AS na, count(*) FILTER (contains(lower(c.text), mechanism) AND c.domain = b) AS nb FROM m, chunks c GROUP BY ALL),
+n AS (SELECT *, round(1 / (1 + bridge / 10.0), 6) AS novelty FROM g) SELECT mechanism, a AS from_domain, b AS to_domain, bridge, novelty, CAST(na > 0 AND nb > 0 AND pos = (SELECT arg_max(pos, (novelty, -pos)) FROM n WHERE na > 0 AND nb > 0) AS BOOLEAN) AS is_best FROM n""")
 def bridge_novelty(spark: SparkSession, d: str) -> DataFrame:
-    """How many chunks bridge two domains by a mechanism, and how new the bridge would be.
+    """How many chunks bridge two domains by a mechanism, how new the bridge would be, and the newest with both sides.
 
-    One pass: each row of the fixed list is a conditional count, so nothing is joined.
+    One pass: each row of the fixed list is three conditional counts, so nothing is joined; the first of a tie is best.
     """
     t = F.lower("text")
-    counts = [F.count_if(t.contains(m) & F.col("domain").isin(a, b)).alias(f"n{k}") for k, (m, a, b) in enumerate(_BRIDGES)]
-    rows = table(spark, d, "chunks").agg(*counts).select(F.explode(F.array(*(F.struct(F.lit(m).alias("mechanism"), F.lit(a).alias("from_domain"), F.lit(b).alias("to_domain"), F.col(f"n{k}").alias("bridge")) for k, (m, a, b) in enumerate(_BRIDGES)))).alias("s"))
-    return rows.select("s.*").withColumn("novelty", F.round(1 / (1 + F.col("bridge") / 10.0), 6))
+    counts = []
+    for k, (m, a, b) in enumerate(lx.BRIDGES):
+        has = t.contains(m)
+        counts += [F.count_if(has & (t.contains(a[:4]) | t.contains(b[:4]))).alias(f"n{k}"), F.count_if(has & (F.col("domain") == a)).alias(f"a{k}"), F.count_if(has & (F.col("domain") == b)).alias(f"b{k}")]
+    rows = F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(m).alias("mechanism"), F.lit(a).alias("from_domain"), F.lit(b).alias("to_domain"), F.col(f"n{k}").alias("bridge"), F.round(1 / (1 + F.col(f"n{k}") / 10.0), 6).alias("novelty"), ((F.col(f"a{k}") > 0) & (F.col(f"b{k}") > 0)).alias("both")) for k, (m, a, b) in enumerate(lx.BRIDGES)))
+    one = table(spark, d, "chunks").agg(*counts).select(rows.alias("rows"))
+    best = F.array_max(F.transform(F.filter("rows", lambda r: r["both"]), lambda r: F.array(r["novelty"], (-r["pos"]).cast("double"))))
+    out = one.select(F.explode("rows").alias("r"), best.alias("best"))
+    return out.select("r.mechanism", "r.from_domain", "r.to_domain", "r.bridge", "r.novelty", F.coalesce(-F.get("best", 1) == F.col("r.pos"), F.lit(False)).alias("is_best"))
 
 
 @query("""WITH e AS (SELECT lower(source_concept) AS c FROM causal_relations UNION ALL SELECT lower(target_concept) FROM causal_relations) SELECT c AS concept, count(*) AS degree FROM e WHERE length(c) > 3 GROUP BY c HAVING count(*) <= 2""")

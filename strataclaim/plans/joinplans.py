@@ -127,16 +127,28 @@ _Q = "does dopaminergic plasticity reduce cortical arousal and working memory"
 _QW = [w for w in _Q.split() if len(w) > 3]
 
 
-@query(f"""WITH h AS (SELECT chunk_id, left(coalesce(paper_title, ''), 60) AS t60, {sq.count_of("lower(text)", _QW)} AS hits, CAST({sq.has_any(sq.low("paper_title"), [w for w in _QW if len(w) > 4])} AS BOOLEAN) AS in_title FROM chunks),
-s AS (SELECT *, (0.6 * hits / {len(_QW)}.0 + 0.4 * hits / {len(_QW)}.0) * (CASE WHEN in_title THEN 1.5 ELSE 1.0 END) AS score FROM h WHERE hits > 0),
-f AS (SELECT *, row_number() OVER (PARTITION BY t60 ORDER BY round(score, 9) DESC, chunk_id) AS rn FROM s)
-SELECT chunk_id, round(score, 6) AS score FROM f WHERE rn = 1 ORDER BY round(score, 9) DESC, chunk_id LIMIT 20""")
+_QT = [w for w in dict.fromkeys(_Q.split()) if len(w) > 2 and w not in lx.RERANK_STOP_WORDS]
+_QV = ", ".join(map(sq.q, dict.fromkeys(w for w in _Q.split() if len(w) > 2)))
+_TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(text), '-', ' '), '[\\s\\x0B]+', ' ', 'g'), ' '), ' '), lambda w: length(w) > 2))"
+
+
+@query(f"""WITH v AS (SELECT chunk_id, left(coalesce(paper_title, ''), 60) AS t60, lower(coalesce(text, '')) || ' ' || {sq.low("paper_title")} AS both_, {sq.low("paper_title")} AS ti, {_TOKENS} AS ws FROM chunks),
+s AS (SELECT *, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_intersect([{_QV}], ws)) / sqrt(len([{_QV}]) * len(ws)) END AS sim FROM v), k AS (SELECT * FROM s ORDER BY round(sim, 9) DESC, chunk_id LIMIT 40),
+r AS (SELECT chunk_id, t60, (0.6 * sim + 0.4 * {sq.count_of("both_", _QT)} / {len(_QT)}.0) * (CASE WHEN {sq.has_any("ti", [w for w in _QT if len(w) > 4])} THEN 1.5 ELSE 1.0 END) AS score FROM k),
+f AS (SELECT *, row_number() OVER (PARTITION BY t60 ORDER BY round(score, 9) DESC, chunk_id) AS rn FROM r) SELECT chunk_id, round(score, 6) AS score FROM f WHERE rn = 1 ORDER BY round(score, 9) DESC, chunk_id LIMIT 20""")
 def rerank_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks ranked by query words and title matches, the best of each title, the first twenty."""
-    c = table(spark, d, "chunks").select("chunk_id", F.left(F.coalesce("paper_title", F.lit("")), F.lit(60)).alias("t60"), tx.count_of(F.lower("text"), _QW).alias("hits"), tx.has_any(tx.low("paper_title"), [w for w in _QW if len(w) > 4]).alias("in_title")).where("hits > 0")
-    share = F.col("hits") / float(len(_QW))
-    c = c.withColumn("score", F.round((0.6 * share + 0.4 * share) * F.when(F.col("in_title"), 1.5).otherwise(1.0), 9))
-    best = c.groupBy("t60").agg(F.min(F.struct((-F.col("score")).alias("k"), "chunk_id")).alias("b")).select("b.chunk_id", (-F.col("b.k")).alias("score"))
+    """Twice as many candidates as wanted by similarity of vectors, reranked with the share of the question's tokens.
+
+    A title with a token of the question counts half more; the best of each title stays, and twenty are given.
+    """
+    qv = F.array(*map(F.lit, dict.fromkeys(w for w in _Q.split() if len(w) > 2)))
+    ti = tx.low("paper_title")
+    v = table(spark, d, "chunks").select("chunk_id", F.left(F.coalesce("paper_title", F.lit("")), F.lit(60)).alias("t60"), F.concat(tx.low("text"), F.lit(" "), ti).alias("both"), ti.alias("ti"), tx.tokens_over(F.col("text"), 2).alias("ws"))
+    sim = F.when(F.size("ws") == 0, 0.0).otherwise(F.size(F.array_intersect(qv, F.col("ws"))) / F.sqrt(F.size(qv) * F.size("ws")))
+    k = v.withColumn("sim", sim).orderBy(F.desc(F.round("sim", 9)), "chunk_id").limit(40)
+    boost = F.when(tx.has_any(F.col("ti"), [w for w in _QT if len(w) > 4]), 1.5).otherwise(1.0)
+    r = k.select("chunk_id", "t60", F.round((0.6 * F.col("sim") + 0.4 * tx.count_of(F.col("both"), _QT) / float(len(_QT))) * boost, 9).alias("score"))
+    best = r.groupBy("t60").agg(F.min(F.struct((-F.col("score")).alias("k"), "chunk_id")).alias("b")).select("b.chunk_id", (-F.col("b.k")).alias("score"))
     return best.orderBy(F.desc("score"), "chunk_id").limit(20).select("chunk_id", F.round("score", 6).alias("score"))
 
 

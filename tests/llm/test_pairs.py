@@ -91,3 +91,18 @@ def test_refusal_of_any_length(text):
 @pytest.mark.parametrize("text", ["I can't answer this fully. Sleep improves memory. Stress lowers it. Both effects add up where memory is poor.", "I cannot give a verdict. Sleep was raised by a third in 12 groups.", "The causes lie beyond what is known. Sleep improves memory."])
 def test_answer_beside_a_refusing_sentence(text):
     assert not pairs.is_refusal(text, Q)
+
+
+def test_cheap_looks_pass_every_pattern():
+    """What goes before the gate and the patterns never stops what these would find."""
+    for p, s in zip(pairs.REFUSALS, REFUSING):
+        for text in (s, s.upper(), f"Thank you. {s} Good day."):
+            assert not p.search(text) or pairs.may_refuse(text) and (pairs._may_pass_gate(text) or not pairs._GATE.search(text)), text
+    for text in ("I can't say more", "I cant comment", "you must pass me", "podría yo hablar", "m'interdit", "My polıcy", "No comment can be made"):
+        assert pairs.may_refuse(text) or not any(p.search(text) for p in pairs.REFUSALS), text
+        assert pairs._may_pass_gate(text) or not pairs._GATE.search(text), text
+
+
+@pytest.mark.parametrize("text, parts", [("One. Two! \"Three?\" four", ["One.", "Two!", "\"Three?\"", "four"]), ("一。二！三", ["一。", "二！", "三"]), ("a.b c...\nd", ["a.b c...", "d"]), ("", [""]), ("no end", ["no end"]), ("x\n\ny", ["x", "y"])])
+def test_sentences(text, parts):
+    assert pairs.split_sentences(text) == parts

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ from strataclaim.functions.text import clamp
 from strataclaim.session import broadcast_checked, cut
 
 DECAY, STEP_SCALE, NOISE, START_NOISE = 0.96, 0.04, 0.005, 0.05
+#: Edges, and bytes of them, up to which every task of the rollouts holds the whole graph.
+GRAPH_ROWS, GRAPH_BYTES = 2_000_000, 160 * 2**20
+#: Rows of a simulation that are handed out at once.
+OUT_ROWS = 100_000
 
 
 def chains(edges: DataFrame, starts: DataFrame, depth: int = 3, fan_out: int = 5) -> DataFrame:
@@ -84,12 +91,60 @@ def gaussian(*parts: Column | str, seed: int = 42) -> Column:
     return F.sqrt(-2.0 * F.log(u(1))) * F.cos(2.0 * F.pi() * u(2))
 
 
-def rollouts(beliefs: DataFrame, moves: DataFrame, sims: int = 500, steps: int = 8, focus: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
-    """Final beliefs ``(sim, node, belief)`` of noisy rollouts from jittered starts.
+def rollouts(beliefs: DataFrame, moves: DataFrame, sims: int = 500, steps: int = 8, focus: tuple[str, ...] = (), seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """Final beliefs ``(sim, node, belief, *also)`` of noisy rollouts from jittered starts.
 
-    The simulations are rows; each step is a join and a sum by (sim, node), with the edges broadcast. The lineage is cut half
-    way, as eight steps of joins would make the plan long. Noise is a hash of (seed, sim, step, edge),
-    so a lost executor's part comes out the same again.
+    ``beliefs`` has one row a node; its columns ``also`` are other beliefs that start and move under
+    the same noise. The whole graph goes to every task once, which works off its simulations as arrays
+    and hands out nothing but their ends, so no step is joined, shuffled or written. A graph that a
+    count proves too large for that takes ``joined_rollouts``. Noise is a hash of (seed, sim, step,
+    edge), so a lost executor's part comes out the same again, and either way gives the same numbers.
+    """
+    spark, names = beliefs.sparkSession, ("belief", *also)
+    moves = cut(moves)
+    if not (broadcast_checked(moves, GRAPH_ROWS, GRAPH_BYTES)[1] and broadcast_checked(beliefs, GRAPH_ROWS, GRAPH_BYTES)[1]):
+        ends = joined_rollouts(beliefs.select("node", "belief"), moves, sims, steps, focus, seed)
+        for name in also:
+            more = joined_rollouts(beliefs.select("node", F.col(name).alias("belief")), moves, sims, steps, focus, seed)
+            ends = ends.join(more.withColumnRenamed("belief", name), ["sim", "node"])
+        return ends
+    nodes = beliefs.select("node", *(F.col(x).cast("double").alias(x) for x in names)).toArrow().combine_chunks()
+    s = F.col("strength").cast("double")
+    if focus:
+        s = F.when(F.col("source").isin(*focus) | F.col("target").isin(*focus), F.least(s * 2.5, F.lit(0.12))).otherwise(s)
+    # edges of one pair of nodes share their noise
+    pairs = moves.select("source", "target", (F.col("sign") * s).alias("w")).where("source is not null and w is not null").groupBy("source", "target").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).toArrow().combine_chunks()
+    node = nodes["node"].combine_chunks()
+    ends = [pc.index_in(pairs[x], value_set=node) for x in ("source", "target")]
+    known = pc.and_(*map(pc.is_valid, ends))
+    source, target, w, n = (x.filter(known).to_numpy() for x in (*ends, pairs["w"], pairs["n"]))
+    starts = [nodes[x].to_numpy() for x in names]
+    shared = spark.sparkContext.broadcast((node, starts, source, target, w, n))
+    tasks = max(1, min(sims, 2 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, sims, 1, tasks).mapInArrow(_rolled(shared, names, steps, seed), "sim int, node string, " + ", ".join(f"`{x}` double" for x in names))
+
+
+def _rolled(shared, names: tuple[str, ...], steps: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strataclaim.operators.rollout import Rollouts
+
+        r = None
+        for b in batches:
+            for sim in b.column(0).to_pylist():
+                r = r or Rollouts(*shared.value, steps, seed)
+                ends = r.run(sim)
+                for at in range(0, len(r.node), OUT_ROWS):
+                    part = r.node.slice(at, OUT_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), sim, np.int32)), part, *(pa.array(x[at : at + OUT_ROWS]) for x in ends)], names=["sim", "node", *names])
+
+    return run
+
+
+def joined_rollouts(beliefs: DataFrame, moves: DataFrame, sims: int = 500, steps: int = 8, focus: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """``rollouts`` of a graph that no task can hold.
+
+    The simulations are rows; each step is a join and a sum by (sim, node). The lineage is cut half
+    way, as eight steps of joins would make the plan long.
     """
     start = beliefs.select(F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"), "node", "belief")
     out_edges = adjacency(moves)

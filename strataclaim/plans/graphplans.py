@@ -166,9 +166,9 @@ def simulate_rollouts(spark: SparkSession, d: str) -> DataFrame:
 def compare_rollouts(spark: SparkSession, d: str) -> DataFrame:
     """What raising the belief in two nodes by .2 changes elsewhere, over the same noise."""
     b, t = _state(spark, d)
-    raised = b.select("node", F.when(F.col("node").isin(*_FOCUS), F.least(F.lit(1.0), F.col("belief") + 0.2)).otherwise(F.col("belief")).alias("belief"))
-    mean = lambda x, name: graph.rollouts(x, t, sims=500).groupBy("node").agg(F.avg("belief").alias(name))
-    return mean(b, "base").join(mean(raised, "raised"), "node").select("node", F.round("base", 6).alias("base"), F.round("raised", 6).alias("raised"), F.when(F.col("raised") - F.col("base") > 0.01, "positive").when(F.col("raised") - F.col("base") < -0.01, "negative").otherwise("neutral").alias("impact"))
+    raised = F.when(F.col("node").isin(*_FOCUS), F.least(F.lit(1.0), F.col("belief") + 0.2)).otherwise(F.col("belief"))
+    ends = graph.rollouts(b.withColumn("raised", raised), t, sims=500, also=("raised",)).groupBy("node").agg(F.avg("belief").alias("base"), F.avg("raised").alias("raised"))
+    return ends.select("node", F.round("base", 6).alias("base"), F.round("raised", 6).alias("raised"), F.when(F.col("raised") - F.col("base") > 0.01, "positive").when(F.col("raised") - F.col("base") < -0.01, "negative").otherwise("neutral").alias("impact"))
 
 
 @query("""WITH n AS (SELECT id, trim(regexp_replace(regexp_replace(lower(subject), '[-_/]', ' ', 'g'), '[\\s\\x0B]+', ' ', 'g'), ' ') AS k FROM observations WHERE subject IS NOT NULL), g AS (SELECT k, min(id) AS keep_id, count(*) AS n FROM n WHERE length(k) >= 4 AND k NOT LIKE 'the %' GROUP BY k)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataclaim.functions import dimensions, hooks
-from strataclaim.operators import drift, graph
+from strataclaim.operators import drift, graph, noise
 from strataclaim.operators.evidence import belief_confidence, lifecycle
 from strataclaim.operators.likejoin import like_join
 from strataclaim.operators.retrieval import vector_topk
@@ -126,3 +126,52 @@ def test_rollout_queries_run_all_simulations(spark, small, monkeypatch, name):
 
     monkeypatch.setattr(graph, "rollouts", spy)
     assert catalog.queries()[name](spark, small).count() and set(ran) == {(500, 8)}
+
+
+def test_array_hash_equals_xxhash64(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["x" * n + c for n in range(70) for c in ("", "y", "\u00e9", "\u4e2d\U0001f600")] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [r.h for r in df.select(F.xxhash64(F.lit(42), F.lit(1), F.lit(7), "t").alias("h")).collect()]
+    got = np.zeros(len(texts), np.uint64)
+    for n, at, parts in noise.by_length(pa.array(texts)):
+        got[at] = noise.hash_text(np.repeat(noise.seeds(42, 1, 7)[:, None], len(at), 1), n, parts)[0]
+    assert got.view(np.int64).tolist() == want
+
+
+def web(spark):
+    rnd = random.Random(7)
+    nodes = ["".join(rnd.choice("abc \u00df\u4e2d\U0001f600-") for _ in range(n)) + str(n) for n in range(70)]
+    b = spark.createDataFrame([(x, rnd.random() if k % 17 else None, rnd.random()) for k, x in enumerate(nodes)], "node string, belief double, raised double")
+    edges = [(rnd.choice(nodes), rnd.choice([*nodes, "not there"]), rnd.choice([1, -1, 0]), rnd.random() * 0.1) for _ in range(400)]
+    edges += [*edges[:20], (nodes[3], nodes[3], 1, 0.05), (nodes[4], nodes[5], 1, float("nan")), (nodes[4], nodes[6], 1, None)]
+    return nodes, b, spark.createDataFrame(edges, "source string, target string, sign int, strength double")
+
+
+@pytest.mark.parametrize("focused, rows", [(False, 10**6), (True, 10**6), (True, 5)])
+def test_rollouts_equal_joined_rollouts(spark, monkeypatch, focused, rows):
+    monkeypatch.setattr(graph, "GRAPH_ROWS", rows)
+    nodes, b, m = web(spark)
+    focus = (nodes[10], nodes[20]) if focused else ()
+    got = {(r.sim, r.node): (r.belief, r.raised) for r in graph.rollouts(b, m, 3, 5, focus, also=("raised",)).collect()}
+    for k, name in enumerate(("belief", "raised")):
+        want = {(r.sim, r.node): r.belief for r in graph.joined_rollouts(b.select("node", F.col(name).alias("belief")), m, 3, 5, focus).collect()}
+        assert len(got) == 210 and {x: v[k] for x, v in got.items()} == pytest.approx(want, abs=1e-12)
+
+
+def test_compare_rollouts_draws_its_noise_once_and_joins_no_step(spark, small, monkeypatch):
+    from strataclaim.plans import catalog
+
+    real, ran = graph.rollouts, []
+
+    def spy(*args, **more):
+        ran.append(real(*args, **more))
+        return ran[-1]
+
+    monkeypatch.setattr(graph, "rollouts", spy)
+    catalog.queries()["compare_rollouts"](spark, small)
+    assert len(ran) == 1
+    plan = ran[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -108,7 +108,7 @@ def rollouts(beliefs: DataFrame, moves: DataFrame, sims: int = 500, steps: int =
             more = joined_rollouts(beliefs.select("node", F.col(name).alias("belief")), moves, sims, steps, focus, seed)
             ends = ends.join(more.withColumnRenamed("belief", name), ["sim", "node"])
         return ends
-    nodes = beliefs.select("node", *(F.col(x).cast("double").alias(x) for x in names)).toArrow().combine_chunks()
+    nodes = beliefs.select("node", *(F.col(x).cast("double").alias(x) for x in names)).toArrow().sort_by("node").combine_chunks()
     s = F.col("strength").cast("double")
     if focus:
         s = F.when(F.col("source").isin(*focus) | F.col("target").isin(*focus), F.least(s * 2.5, F.lit(0.12))).otherwise(s)

@@ -175,3 +175,17 @@ def test_compare_rollouts_draws_its_noise_once_and_joins_no_step(spark, small, m
     assert len(ran) == 1
     plan = ran[0]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_simulate_rollouts_writes_no_row_of_a_simulation(spark, small, monkeypatch):
+    from strataclaim.plans import catalog
+
+    real, rows = graph.cut, []
+
+    def spy(df):
+        rows.append(real(df))
+        return rows[-1]
+
+    monkeypatch.setattr(graph, "cut", spy)
+    df = catalog.queries()["simulate_rollouts"](spark, small)
+    assert df.count() == 127 and [x.columns for x in rows] == [["source", "target", "sign", "strength"]]
